@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import langid, secrets
+from splitmark.llm import fingerprint, langid, secrets
 from splitmark.llm.common import table
 
 
@@ -14,11 +14,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10_secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op1_winnowing(table(spark, sf_dir, "documents"))
+
+
 def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8_compression_langid(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": op1_winnowing,
     "op8_compression_langid": op8_compression_langid,
     "op10_secret_scan": op10_secret_scan,
 }
