@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import fingerprint, langid, secrets
+from splitmark.llm import fingerprint, langid, packing, secrets
 from splitmark.llm.common import table
 
 
@@ -18,12 +19,17 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op1_winnowing(table(spark, sf_dir, "documents"))
 
 
+def op7_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.PackParams(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8_compression_langid(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op7_first_fit_packing": op7_first_fit_packing,
     "op8_compression_langid": op8_compression_langid,
     "op10_secret_scan": op10_secret_scan,
 }
