@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import fingerprint, langid, packing, secrets
+from splitmark.llm import fingerprint, langid, packing, secrets, topk
 from splitmark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op1_winnowing(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackParams(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
@@ -29,9 +33,12 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op3_exact_top_k": op3_exact_top_k,
     "op7_first_fit_packing": op7_first_fit_packing,
     "op8_compression_langid": op8_compression_langid,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": topk.ORACLE_SQL,
+}
