@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import fingerprint, langid, packing, secrets, topk
+from splitmark.llm import chat, fingerprint, langid, packing, secrets, topk
 from splitmark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op6_typed_parts(table(spark, sf_dir, "conversations"))
+
+
 def op7_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.PackParams(tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
@@ -34,6 +38,7 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_exact_top_k": op3_exact_top_k,
+    "op6_typed_parts": op6_typed_parts,
     "op7_first_fit_packing": op7_first_fit_packing,
     "op8_compression_langid": op8_compression_langid,
     "op10_secret_scan": op10_secret_scan,
@@ -41,4 +46,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": topk.ORACLE_SQL,
+    "op6_typed_parts": chat.ORACLE_SQL,
 }
