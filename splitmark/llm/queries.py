@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import chat, fingerprint, langid, packing, secrets, topk
+from splitmark.llm import chat, fingerprint, langid, packing, secrets, topk, toxicity
 from splitmark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4_conv_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op6_typed_parts(table(spark, sf_dir, "conversations"))
 
@@ -38,6 +42,7 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_conv_toxicity": op4_conv_toxicity,
     "op6_typed_parts": op6_typed_parts,
     "op7_first_fit_packing": op7_first_fit_packing,
     "op8_compression_langid": op8_compression_langid,
