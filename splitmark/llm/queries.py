@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import chat, fingerprint, langid, packing, secrets, topk, toxicity
+from splitmark.llm import chat, fingerprint, langid, packing, quality, secrets, topk, toxicity
 from splitmark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op1_winnowing(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2_neighbour_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +45,7 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_neighbour_quality": op2_neighbour_quality,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_conv_toxicity": op4_conv_toxicity,
     "op6_typed_parts": op6_typed_parts,
