@@ -33,39 +33,61 @@ class PackParams:
 
 
 #: Python takes these for white space and the tokenizer doesn't; texts with a special token's sign are left to it as well.
-WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-#: Words whose ids a process keeps, and words encoded in one call.
-KEPT, AT_ONCE = 500_000, 50_000
-MARK = "|"
+WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Letters that are lower-cased one by one and are in composed form already, then marks that the tokenizer cuts off (an apostrophe
+#: may belong to a contraction, so it isn't among them).
+WORD = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Chunks whose ids a process keeps, and words encoded in one call.
+KEPT, AT_ONCE = 600_000, 50_000
 
 
 class WordTokenizer:
-    """Ids of texts, equal to the tokenizer's own. It never merges across white space, so the ids of each word are kept (a bounded
-    number of them), and all words that are new in some texts are encoded in one call, with marks between them."""
+    """Ids of texts, equal to the tokenizer's own. It never merges across white space, nor letters with marks, so the ids of each
+    chunk are kept (a bounded number of them), and all words that are new in some texts are encoded in one call and told apart by
+    their tokens for a word's end."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.inner = Tokenizer.from_file(path)
-        self.mark = self.inner.encode(MARK, add_special_tokens=False).ids
+        vocabulary = self.inner.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KEPT:
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.known) + len(chunks) > KEPT:
             self.known = {}
-        plain = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
-        for at in range(0, len(plain), AT_ONCE):
-            part = plain[at : at + AT_ONCE]
-            ids = self._ids(f" {MARK} ".join(part))
-            marks = np.flatnonzero(ids == self.mark[0]) * 4
+        if len(self.words) + len(chunks) > KEPT:
+            self.words = {}
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        known, words, tails, cut, new = self.known, self.words, self.tails, [], {}
+        for chunk in chunks:
+            m = WORD.fullmatch(chunk)
+            if m is None:
+                known[chunk] = self._ids(chunk).tobytes()
+                continue
+            word, tail = m.groups()
+            word = word.lower()
+            if tail not in tails:
+                tails[tail] = self._ids(tail).tobytes()
+            if word not in words:
+                new[word] = None
+            cut.append((chunk, word, tail))
+        fresh = list(new)
+        for at in range(0, len(fresh), AT_ONCE):
+            part = fresh[at : at + AT_ONCE]
+            ids = self._ids(" ".join(part))
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
-            self.known.update(zip(part, map(lambda a, b: raw[a:b], [0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)]), strict=True))
-        if len(plain) < len(words):
-            for word in words:
-                if word not in self.known:
-                    self.known[word] = self._ids(word).tobytes()
+            words.update(zip(part, map(lambda a, b: raw[a:b], [0, *ends[:-1]], ends), strict=True))
+        for chunk, word, tail in cut:
+            known[chunk] = words[word] + tails[tail] if tail else words[word]
 
     def _joined(self, words: list[str]) -> bytes:
         out = []
@@ -80,11 +102,12 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, one after another."""
-        split = [None if WHOLE.search(t) else t.split() for t in texts]
+        split = [None if any(mark in t for mark in WHOLE) else t.split() for t in texts]
+        met: set[str] = set().union(*(words for words in split if words and len(words) <= AT_ONCE))
         known = self.known
-        fresh = {w for words in split if words and len(words) <= AT_ONCE for w in words if w not in known}
+        fresh = [w for w in met if w not in known]
         if 0 < len(fresh) < KEPT // 2:
-            self._learn(list(fresh))
+            self._learn(fresh)
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 yield self._ids(text).tobytes()
@@ -150,7 +173,7 @@ def pieces(docs: DataFrame, params: PackParams, id_col: str = "doc_id", text_col
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         own = tokenizer(path)
-        for some in batched(rows, 64):
+        for some in batched(rows, 128):
             for (doc_id, _), ids in zip(some, own.encode([text or "" for _, text in some]), strict=True):
                 ids += end
                 total = len(ids) // 4
