@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import chat, fingerprint, langid, packing, quality, secrets, topk, toxicity
+from splitmark.llm import chat, fingerprint, jaccard, langid, packing, quality, secrets, topk, toxicity
 from splitmark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op4_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4_conv_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op6_typed_parts(table(spark, sf_dir, "conversations"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neighbour_quality": op2_neighbour_quality,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_conv_toxicity": op4_conv_toxicity,
+    "op5_jaccard_forest": op5_jaccard_forest,
     "op6_typed_parts": op6_typed_parts,
     "op7_first_fit_packing": op7_first_fit_packing,
     "op8_compression_langid": op8_compression_langid,
