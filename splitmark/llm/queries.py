@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from splitmark.llm import chat, fingerprint, jaccard, langid, packing, quality, secrets, topk, toxicity
+from splitmark.llm import chat, fingerprint, jaccard, langid, mixing, packing, quality, secrets, topk, toxicity
 from splitmark.llm.common import table
 
 
+#: Mostly good text, a little of the rest.
+MIX = mixing.MixParams(weights={"q1t0": 0.9, "q0t0": 0.06, "q1t1": 0.03})
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domain_labels(table(spark, sf_dir, "labels")), MIX)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op10_secret_scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_typed_parts": op6_typed_parts,
     "op7_first_fit_packing": op7_first_fit_packing,
     "op8_compression_langid": op8_compression_langid,
+    "op9_soft_mixing": op9_soft_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 
