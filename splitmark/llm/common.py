@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,10 +50,40 @@ def in_batches(rows: Iterator[tuple], schema: T.StructType, most: int = 1024) ->
         yield made()
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType, step: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """``mapInArrow`` with a generator from row tuples to row tuples."""
+#: Stores that operators keep in a process from task to task, by name, with what empties them.
+STORES: dict[str, Callable[[], None]] = {}
+
+
+def _let_go(keep: str) -> None:
+    """Stores of other operators are emptied and free memory goes back to the system, as the process lives on."""
+    for name, empty in STORES.items():
+        if name != keep:
+            empty()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType, step: Callable[[Iterator[tuple]], Iterator[tuple]], keep: str = "") -> DataFrame:
+    """``mapInArrow`` with a generator from row tuples to row tuples; ``keep`` names the store that it uses."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    return df.select(*columns).mapInArrow(lambda batches: in_batches(step(rows_of(batches, *columns)), out), out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(keep)
+        yield from in_batches(step(rows_of(batches, *columns)), out)
+        _let_go(keep)
+
+    return df.select(*columns).mapInArrow(run, out)
+
+
+def hash_sample(rows: DataFrame, by: str, counts: dict[str, int], most: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``most`` rows of each value of ``by`` in ``counts``: those whose hashed id falls in the share that this makes of the count.
+
+    A plain filter, so a value that holds most rows isn't gathered anywhere.
+    """
+    share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, most / max(1, n)))])[F.col(by)] if counts else F.lit(0.0)
+    place = F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(place < F.coalesce(share, F.lit(0.0)))
 
 
 def bounded_labels(labels: DataFrame, column: str, folds: int, most: int) -> DataFrame:

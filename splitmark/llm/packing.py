@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from splitmark.llm.common import map_rows
+from splitmark.llm.common import STORES, map_rows
 
 
 @dataclass(frozen=True)
@@ -119,6 +119,7 @@ class WordTokenizer:
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+STORES["tokenizers"] = _TOKENIZERS.clear
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -181,7 +182,7 @@ def pieces(docs: DataFrame, params: PackParams, id_col: str = "doc_id", text_col
                     cut = ids[4 * start : 4 * (start + most)]
                     yield doc_id, start, len(cut) // 4, zlib.crc32(cut), total
 
-    return map_rows(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, ["doc_id", "text"], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", step)
+    return map_rows(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, ["doc_id", "text"], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", step, keep="tokenizers")
 
 
 def pack(docs: DataFrame, params: PackParams) -> DataFrame:

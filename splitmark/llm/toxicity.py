@@ -34,7 +34,7 @@ FUNCTION_WORDS = {
 }
 MARKS = re.compile(r"[\W_]+")
 #: Words whose contributions a process keeps.
-STORED = 200_000
+STORED = 100_000
 NOTHING = np.float32(-1e9)
 
 
