@@ -41,7 +41,7 @@ NOTHING = np.float32(-1e9)
 @dataclass(frozen=True)
 class ToxicParams:
     folds: int = 5
-    most: int = 3000  # labelled documents of each label that are learned from
+    most: int = 2500  # labelled documents of each label that are learned from
     buckets: int = 1 << 15
     prefixes: tuple[int, ...] = (4, 5, 7)  # letters hashed beside the whole word
     free: int = 4  # trained dimensions of a row, beside the two from counts
@@ -194,6 +194,10 @@ class ConvModel:
             self._used += len(new)
         return out
 
+    def forget(self) -> None:
+        """Empties the store."""
+        self.__dict__ = self.__getstate__()
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_kept", "_zero", "_used")}
 
@@ -208,12 +212,12 @@ class ConvModel:
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
 
-def _counted(texts: list[list[str]], labels: np.ndarray, params: ToxicParams) -> np.ndarray:
+def _counted(texts: list[str | None], labels: np.ndarray, params: ToxicParams) -> np.ndarray:
     """[views, buckets, 2 + free] start of the tables: log odds by documents with a bucket, and with it twice."""
     views = 1 + len(params.prefixes)
     seen = np.zeros((2, views, 2, params.buckets))
     for at in range(0, len(texts), params.batch):
-        corpus = Corpus(texts[at : at + params.batch], params)
+        corpus = Corpus([words_of(t) for t in texts[at : at + params.batch]], params)
         hashes = np.concatenate([np.full((1, views), -1), hashes_of(corpus.words, params)])
         for doc, ids in corpus.segments:  # a text of several segments counts once for each
             found = hashes[ids[hashes[ids, 0] >= 0]]
@@ -239,8 +243,8 @@ class _Adam:
         return (value - self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
 
-def train(texts: list[list[str]], labels: np.ndarray, params: ToxicParams = ToxicParams()) -> ConvModel:
-    """A model from word lists and 0/1 labels; with one label only, or none, a model that scores everything low or high."""
+def train(texts: list[str | None], labels: np.ndarray, params: ToxicParams = ToxicParams()) -> ConvModel:
+    """A model from texts and 0/1 labels, which are cut into words a batch at a time; with one label only, or none, a model that scores everything low or high."""
     labels = np.asarray(labels, dtype=np.int64)
     model = ConvModel(params, np.zeros((1 + len(params.prefixes), params.buckets, 2 + params.free)))
     if len(set(labels.tolist())) < 2:
@@ -259,9 +263,12 @@ def train(texts: list[list[str]], labels: np.ndarray, params: ToxicParams = Toxi
     adam, y = _Adam(params.rate), labels.astype(np.float32)
     weight = np.where(labels == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())).astype(np.float32)
     mixed = np.array_split(rng.permutation(fitted), max(1, len(fitted) // params.batch))
-    lots = [Corpus([texts[i] for i in part], params) for part in mixed]
+    lots = [Corpus([words_of(texts[i]) for i in part], params) for part in mixed]
     grads = {w: np.zeros_like(k) for w, k in model.kernels.items()}
-    hashes = [hashes_of(c.words, params) for c in lots]
+    hashes = []
+    for lot in lots:
+        hashes.append(hashes_of(lot.words, params))
+        lot.words = []
     first = np.concatenate([model.pooled(c, model.contributions(model.vectors(h)))[0] for c, h in zip(lots, hashes, strict=True)])
     model.mean, model.scale = first.mean(0), first.std(0) + np.float32(0.1)
     size, wide = params.filters, len(params.widths) * params.filters
@@ -295,10 +302,15 @@ def train(texts: list[list[str]], labels: np.ndarray, params: ToxicParams = Toxi
     return model
 
 
-def _calibrate(model: ConvModel, texts: list[list[str]], labels: np.ndarray) -> None:
+def _calibrate(model: ConvModel, texts: list[str | None], labels: np.ndarray) -> None:
     """Each language's shift: the logit that best parts its tuning texts, drawn to that of all languages where texts are few."""
-    logit = np.concatenate([model.logits(texts[a : a + 64]) for a in range(0, len(texts), 64)])
-    langs = np.array([language_of(words) for words in texts])
+    logit, langs = [], []
+    for some in batched(texts, model.params.batch):
+        words = [words_of(t) for t in some]
+        logit.append(model.logits(words))
+        langs += [language_of(w) for w in words]
+    logit, langs = np.concatenate(logit), np.array(langs)
+    model.forget()
 
     def best(values: np.ndarray, marks: np.ndarray) -> float:
         cuts = np.unique(np.concatenate([values, [0.0]]))
@@ -321,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams())
     """A model from at most ``params.most`` documents of each label outside the held-out fold; null texts count as empty."""
     known = bounded_labels(labels, "toxic", params.folds, params.most)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("doc_id", "text").collect()
-    return train([words_of(r["text"]) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), params)
+    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), params)
 
 
 def score(docs: DataFrame, model: ConvModel) -> DataFrame:
