@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitmark.llm.common import map_rows, split_of
+from splitmark.llm.common import hash_sample, map_rows, split_of
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
@@ -28,7 +29,7 @@ class LanguageParams:
 
     folds: int = 4
     held_out: int = 2
-    documents: int = 96  # sampled of each language
+    documents: int = 128  # sampled of each language, as expected
     passage: int = 2048  # characters of each sampled document
     dictionary: int = 65536  # bytes of each dictionary
     languages: int = 64  # the commonest, if there are more
@@ -87,13 +88,10 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Compressi
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of(F.col("doc_id"), params.folds) != params.held_out)).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(list(counts))).select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= params.documents) if counts else None
     filled: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    if ids is not None:
-        picked = known.join(F.broadcast(ids.select("doc_id", "lang", "at")), ["doc_id", "lang"]).select("lang", "at", F.substring("text", 1, params.passage).alias("text"))
-        for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
-            filled[row["lang"]].append(normalised(row["text"]))
+    picked = hash_sample(known, "lang", counts, params.documents).select("doc_id", "lang", F.substring("text", 1, params.passage).alias("text"))
+    for row in sorted(picked.collect(), key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["text"])):
+        filled[row["lang"]].append(normalised(row["text"]))
     raw = {lang: b"".join(parts)[: params.dictionary] for lang, parts in filled.items()}
     raw = {lang: b for lang, b in raw.items() if len(b) >= 8}
     total = sum(counts[lang] for lang in raw)
