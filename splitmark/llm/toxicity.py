@@ -175,10 +175,7 @@ class ConvModel:
             self._rows, self._kept = {}, np.zeros((0, 0), np.float32)
         places = [self._rows.get(w, -1) for w in words]
         new = [w for w, p in zip(words, places, strict=True) if p < 0]
-        if not new:
-            return np.concatenate([self._zero, self._kept[places]])
         made = self.contributions(self.vectors(hashes_of(new, self.params)))
-        self._zero = made[:1]
         out = np.zeros((len(words) + 1, made.shape[1]), np.float32)
         known = np.array(places)
         out[1:][known < 0] = made[1:]
@@ -199,7 +196,7 @@ class ConvModel:
         self.__dict__ = self.__getstate__()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_kept", "_zero", "_used")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_kept", "_used")}
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         corpus = Corpus(texts, self.params)
