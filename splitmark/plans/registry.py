@@ -296,6 +296,13 @@ def region_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.chunks(whole).select("chr", "start", "stop")
 
 
+@query("streamed_sites", f"{_SITES} SELECT chr, CAST(bp_pos AS BIGINT) AS pos, count(*) AS sample_count, CAST(sum(obs) AS BIGINT) AS obs, max(obs) AS max_obs FROM observed GROUP BY chr, bp_pos")
+def streamed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splitmark.streaming.sites import replay
+
+    return replay(_site_counts(spark, sf_dir).select("chr", "sample", F.col("bp_pos").alias("pos"), "obs"))
+
+
 # --- novel sites ----------------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from splitmark import sinks
 from splitmark.sources import text
-from splitmark.streaming.sites import released, streamed_sites
+from splitmark.streaming.sites import absorb, release, streamed_sites
 
 SAM = "@HD\tVN:1.6\n@RG\tID:a\tSM:one\nr1\t99\tchr1\t100\t60\t5S10M\t=\t300\t210\tACGTACGTACGTACG\tIIIIIIIIIIIIIII\tRG:Z:a\nr2\t99\tX\t200\t0\t4M2D6M\tchr2\t50\t0\tACGTACGTAC\t!!!!!!!!!!\n"
 
@@ -94,11 +94,15 @@ def test_control_tables_come_back_with_their_number(spark, tmp_path):
 
 def test_sites_leave_behind_the_slowest_sample():
     state = {"at": {}, "open": {}, "line": -1}
-    frame = lambda *rows: pd.DataFrame(rows, columns=["sample", "pos", "obs"])
-    assert released(state, frame(("A", 10, 3), ("A", 20, 1)), ["A", "B"]) == []
-    assert released(state, frame(("B", 10, 4)), ["A", "B"]) == [(10, 2, 7, 4)]
-    assert released(state, frame(("B", 5, 9)), ["A", "B"]) == []
-    assert released(state, frame(("A", 99, 0), ("B", 99, 0)), ["A", "B"]) == [(20, 1, 1, 1)]
+
+    def released(*rows):
+        absorb(state, pd.DataFrame(rows, columns=["sample", "pos", "obs"]))
+        return release(state, ["A", "B"])
+
+    assert released(("A", 10, 3), ("A", 20, 1)) == []
+    assert released(("B", 10, 4)) == [(10, 2, 7, 4)]
+    assert released(("B", 5, 9)) == []
+    assert released(("A", 99, 0), ("B", 99, 0)) == [(20, 1, 1, 1)]
 
 
 def test_streamed_sites(spark, tmp_path):
