@@ -39,8 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context._splitmark_dir
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, and lost executors lose nothing of it."""
+#: Rows that are worth a file and a task of their own.
+FILE_ROWS = 50_000
+
+
+def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, and lost executors lose nothing of it.
+
+    ``rows``: about how many there are at most, so that a small table isn't cut into as many files as a shuffle has partitions.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/splitmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
