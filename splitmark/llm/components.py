@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from splitmark.session import written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", nodes: int | None = None) -> DataFrame:
     """(node, label) for every node of the edges; label is the smallest node of its component.
 
     A round takes the smallest label of each node's neighbours, then the label of that label, so paths shrink to half or better.
     Minima are combined before they are shuffled and lookups are plain joins, so a hub with very many edges may be split. Each
-    round ends in a written table; labels never come to the driver, only the number that changed. Null ends drop out, loops
+    round ends in a written table (``nodes``: about how many there are at most); labels never come to the driver, only the number that changed. Null ends drop out, loops
     and repeated edges do no harm.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), "labels")
+    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", nodes and 8 * nodes)
+    labels = written(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), "labels", nodes)
     while True:
         names = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))
         near = both.join(names, "v").groupBy("u").agg(F.min("seen").alias("seen"))
         lower = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        found = written(lower.join(jump, "low").select("node", "old", F.least("low", "next").alias("label")), "labels")
+        found = written(lower.join(jump, "low").select("node", "old", F.least("low", "next").alias("label")), "labels", nodes)
         changed = found.where("old <> label").limit(1).count()
         labels = found.select("node", "label")
         if not changed:

@@ -213,14 +213,15 @@ def near_duplicates(docs: DataFrame, params: ForestParams = ForestParams()) -> D
     is one shingle. Repeated rows are copies. Null ids stay null. An empty table gives an empty result.
     """
     signed = written(signatures(docs, params), "signatures")
-    classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("keys").alias("keys")), "classes")
+    n = max(1, signed.count())
+    classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("keys").alias("keys")), "classes", n)
     # Trie nodes with two classes or more; each class is tied to the smallest of its trie node.
     held = classes.select("node", F.explode("keys").alias("key"))
-    runs = written(held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub"), "runs")
+    runs = written(held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub"), "runs", n * params.trees)
     ties = held.join(runs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(ties)
+    groups = components(ties, nodes=n)
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    members = written(groups.join(sizes, "label").select("node", "label", F.ceil(F.col("n") / params.block).cast("int").alias("blocks")).join(classes, "node"), "members")
+    members = written(groups.join(sizes, "label").select("node", "label", F.ceil(F.col("n") / params.block).cast("int").alias("blocks")).join(classes, "node"), "members", n)
     # Shingles of one text of each class; texts that share its id but not its shingles are left out by their hash.
     rows = docs.select(F.col("doc_id").alias("copy_id"), "text").join(members, "copy_id")
 
@@ -245,10 +246,10 @@ def near_duplicates(docs: DataFrame, params: ForestParams = ForestParams()) -> D
     found = map_rows(tasks, ["label", "i", "j", "side", "node", "n_copies", "keys", "shingles"], "node binary, n_text_links bigint, linked bigint, low binary", check)
     links = written(found, "links")
     counted = links.groupBy("node").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("linked").alias("linked"))
-    joined = components(links.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    joined = components(links.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), nodes=n)
     named = classes.select("node", "copy_id", "n_copies").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    final = written(named.join(lowest, "label").join(counted, "node", "left").select("node", "class_id", "copy_id", "n_copies", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("linked", F.lit(0)).alias("linked")), "classes")
+    final = written(named.join(lowest, "label").join(counted, "node", "left").select("node", "class_id", "copy_id", "n_copies", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("linked", F.lit(0)).alias("linked")), "classes", n)
     known = signed.where("node is not null").select("doc_id", "node").join(final, "node")
     known = known.select("doc_id", "class_id", "copy_id", "n_copies", (F.col("n_copies") - 1 + F.col("linked")).alias("n_links"), "n_text_links")
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_text_links"))

@@ -136,7 +136,7 @@ def fit_rates(table: DataFrame, domains: list[str], params: MixParams) -> Mixtur
     it. Domains without any mass are left out of the error.
     """
     k = len(domains)
-    natural = _totals(table.withColumn("mix_one", F.lit(1.0)), F.col("mix_one"), k)
+    natural, rows = _totals(table, F.lit(1.0), k), table.count()
     if params.boosts is not None:
         targets = [n * params.boosts.get(d, 1.0) for d, n in zip(domains, natural, strict=True)]
     else:
@@ -157,7 +157,7 @@ def fit_rates(table: DataFrame, domains: list[str], params: MixParams) -> Mixtur
         history.append((gradient, step / (step + 3)))
         recent.append(history[-1])
         if len(recent) == WRITE_EVERY:
-            moved = written(held.select("mix_tokens", "mix_posterior", _state(recent, at, params.floor).alias("mix_state")), "rates").persist(StorageLevel.MEMORY_AND_DISK)
+            moved = written(held.select("mix_tokens", "mix_posterior", _state(recent, at, params.floor).alias("mix_state")), "rates", rows).persist(StorageLevel.MEMORY_AND_DISK)
             held.unpersist()
             held, recent, at = moved, [], F.col("mix_state")
     reached = _totals(held, _state(recent, at, params.floor)["x"], k)
