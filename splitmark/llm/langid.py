@@ -67,6 +67,8 @@ class CompressionModel:
     def sizes(self, text: str | None) -> dict[str, float]:
         """Bytes by language; empty where the text has no letter."""
         data, size = normalised(text), self.params.block
+        if not any(map(str.isalpha, text or "")):
+            return {}
         blocks = [data[at : at + size] for at in range(0, len(data), size)]
         return {lang: self.code[lang] + sum(len(c.compress(b)) for b in blocks) for lang, c in self._compressors().items()} if blocks else {}
 
