@@ -41,6 +41,12 @@ def tail_clip(cigar: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(cigar, r"(\d+)S$", 1), F.lit("")).cast("int"), F.lit(0))
 
 
+def longest_end_clip(cigar: Column) -> Column:
+    """The longest soft clip. A CIGAR has them at its ends alone, at most with hard clips beyond."""
+    at = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).cast("int"), F.lit(0))
+    return F.greatest(at(r"^(?:\d+H)?(\d+)S"), at(r"(\d+)S(?:\d+H)?$"))
+
+
 def unclipped(start: Column, end: Column, cigar: Column) -> tuple[Column, Column]:
     """(start, end) with the clipped bases laid out."""
     return start - lead_clip(cigar), end + tail_clip(cigar)

@@ -39,7 +39,7 @@ def reject_reason(params: ReadParams = ReadParams()) -> Column:
     """Why a read is dropped, the first rule in order; null for one that is kept."""
     ops, gap_start = G.cigar_ops(F.col("cigar")), F.abs(F.col("mate_start") - F.col("aln_start"))
     gap_end = F.abs(F.col("mate_start") - F.col("aln_end"))
-    reason = F.when(F.coalesce(G.longest_clip(ops), F.lit(0)) <= params.min_clip, "unclipped")
+    reason = F.when(G.longest_end_clip(F.col("cigar")) <= params.min_clip, "unclipped")
     if params.drop_chimeric:
         reason = reason.when(F.col("chr") != F.col("mate_chr"), "chimeric")
     if params.proper_only:

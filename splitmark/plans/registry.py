@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from splitmark import schema, sinks
 from splitmark.functions import genomics as G
 from splitmark.operators import controls, features, intervals, novel, partners, reads, report, variants
+from splitmark.session import written
 from splitmark.sources import projection
 from splitmark.sources.projection import EXONS_SQL, READS_ORACLE, REFERENCE_SQL, REGIONS_SQL
 
@@ -69,20 +70,31 @@ controls AS (
 # --- relations that several queries share ---------------------------------------------------------------------------------------
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.positions(reads.interesting(projection.reads(spark, sf_dir)))
+#: What most queries need of a read; bases and qualities are asked for by name.
+LIGHT = [c for c in (part.split()[0] for part in schema.READS.split(", ")) if c not in ("bases", "quals")]
+
+
+def _kept(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Reads that pass the filter, written once: positions, windows and counts all start from them."""
+    return written(reads.interesting(projection.reads(spark, sf_dir)).select(*LIGHT, *more), "reads")
+
+
+def _placed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return reads.positions(reads.interesting(projection.reads(spark, sf_dir)).select(*LIGHT, *more))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.noise_windows(reads.interesting(projection.reads(spark, sf_dir)))
+    return reads.noise_windows(_kept(spark, sf_dir))
 
 
-def _quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.quiet(_placed(spark, sf_dir), _windows(spark, sf_dir))
+def _quiet(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    kept = _kept(spark, sf_dir, *more)
+    return reads.quiet(reads.positions(kept), reads.noise_windows(kept))
 
 
 def _site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.site_counts(_quiet(spark, sf_dir)).withColumn("bp_id", schema.xpos(F.col("chr_idx"), F.col("bp_pos")))
+    """Observations by sample and site, written once: the table that controls and novel sites are both made of."""
+    return written(reads.site_counts(_quiet(spark, sf_dir)).withColumn("bp_id", schema.xpos(F.col("chr_idx"), F.col("bp_pos"))), "observed")
 
 
 def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +201,13 @@ _CLIPPED = f"CASE WHEN side = 'start' THEN substr(bases, greatest({_LEAD} - 15,
 @query("clipped_bases", f"{_PLACED} SELECT read_name, side, {_CLIPPED} AS clip, reverse(translate({_CLIPPED}, 'ACGTN', 'TGCAN')) AS complement FROM placed")
 def clipped_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = G.clipped_bases(F.col("bases"), F.col("cigar"), F.col("side"))
-    return _placed(spark, sf_dir).select("read_name", "side", clip.alias("clip"), G.reverse_complement(clip).alias("complement"))
+    return _placed(spark, sf_dir, "bases").select("read_name", "side", clip.alias("clip"), G.reverse_complement(clip).alias("complement"))
 
 
 @query("clip_qualities", f"""{_PLACED}, q AS (SELECT sample, chr, bp_pos, unnest(CASE WHEN side = 'start' THEN list_slice(quals, greatest({_LEAD} - 15, 0) + 1, greatest({_LEAD} - 15, 0) + least({_LEAD}, 15)) ELSE list_slice(quals, len(quals) - {_TAIL} + 1, len(quals) - {_TAIL} + least({_TAIL}, 15)) END) AS q FROM placed)
     SELECT sample, chr, bp_pos, quantile_cont(q, 0.5) AS median_quality FROM q GROUP BY 1, 2, 3""")
 def clip_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.clip_qualities(_placed(spark, sf_dir))
+    return reads.clip_qualities(_placed(spark, sf_dir, "quals"))
 
 
 _CONSENSUS = f"""{_QUIET}, clip AS (SELECT sample, chr, bp_pos, CASE WHEN side = 'start' THEN reverse({_CLIPPED}) ELSE {_CLIPPED} END AS c FROM quiet),
@@ -207,7 +219,7 @@ _CONSENSUS = f"""{_QUIET}, clip AS (SELECT sample, chr, bp_pos, CASE WHEN side =
 
 @query("consensus_bases", f"{_CONSENSUS} SELECT * FROM consensus")
 def consensus_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.consensus(_quiet(spark, sf_dir))
+    return reads.consensus(_quiet(spark, sf_dir, "bases"))
 
 
 @query("read_geometry", f"""WITH {READS_ORACLE} SELECT read_name, aln_start - {_LEAD} AS u_start, aln_end + {_TAIL} AS u_end, (flags & 16) <> 0 AS reverse_strand, (flags & 1) <> 0 AS paired, CASE WHEN ((flags & 16) <> 0) = ((flags & 32) <> 0) THEN 'TANDEM' WHEN CASE WHEN (flags & 16) = 0 THEN aln_start <= mate_start ELSE mate_start <= aln_start END THEN 'FR' ELSE 'RF' END AS orientation,
@@ -333,7 +345,7 @@ def merged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("base_quality_sites", f"""{_SITES}, q AS (SELECT sample, chr, bp_pos, unnest(CASE WHEN side = 'start' THEN list_slice(quals, greatest({_LEAD} - 15, 0) + 1, greatest({_LEAD} - 15, 0) + least({_LEAD}, 15)) ELSE list_slice(quals, len(quals) - {_TAIL} + 1, len(quals) - {_TAIL} + least({_TAIL}, 15)) END) AS q FROM quiet),
     g AS (SELECT sample, chr, bp_pos FROM q GROUP BY 1, 2, 3 HAVING quantile_cont(q, 0.5) >= 28.5) SELECT sample, chr, bp_pos, obs FROM observed SEMI JOIN g USING (sample, chr, bp_pos)""")
 def base_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _quiet(spark, sf_dir)
+    rows = _quiet(spark, sf_dir, "quals")
     return novel.good_quality(reads.site_counts(rows), reads.clip_qualities(rows), novel.NovelParams(min_median_quality=28.5)).select("sample", "chr", "bp_pos", "obs")
 
 
@@ -377,6 +389,7 @@ def _partner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = _controls(spark, sf_dir).withColumn("q", F.when(pos < 11_000, near).otherwise(F.floor((pos - 20_000) / 100)))
     made = lambda q: F.substring(F.translate(F.md5(F.concat(F.lit("c"), "chr", F.lit("_"), q.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 15)
     known = sites.select("id", "chr", made(F.when(F.col("q") % 2 == 0, F.col("q") - 1).otherwise(F.col("q") + 1)).alias("bases"), made(F.col("q")).alias("opposing"), F.lit(15.0).alias("score"))
+    known = written(known, "sites")
     return partners.candidates(partners.queries(known), partners.targets(known))
 
 
@@ -538,7 +551,7 @@ def sample_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("output_table", f"""{_CONSENSUS}, {EXONS_SQL} SELECT chr, bp_pos AS start, bp_pos + 1 AS end, regexp_extract(sample, '^S(\\d+)$', 1) AS sample, depth, CAST(depth AS BIGINT) AS sample_count, round_even(score / length(bases), 3) AS cscore, '' AS partner, 'G' AS genes, '-1' AS cdsdist FROM consensus""")
 def output_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reads.consensus(_quiet(spark, sf_dir)).select("chr", F.col("bp_pos").alias("pos"), "sample", F.col("depth").alias("obs"), F.col("depth").alias("sample_count"), "score", "bases", F.lit(None).cast("string").alias("partner"), F.array(F.lit("G")).alias("genes"), F.array(F.lit(-1)).alias("cdsdist"))
+    found = reads.consensus(_quiet(spark, sf_dir, "bases")).select("chr", F.col("bp_pos").alias("pos"), "sample", F.col("depth").alias("obs"), F.col("depth").alias("sample_count"), "score", "bases", F.lit(None).cast("string").alias("partner"), F.array(F.lit("G")).alias("genes"), F.array(F.lit(-1)).alias("cdsdist"))
     return report.output_rows(found, r"S(\d+)")
 
 
