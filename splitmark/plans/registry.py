@@ -478,7 +478,7 @@ def extended_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- annotation -----------------------------------------------------------------------------------------------------------------
 
-_VARIANTS = "variants AS (SELECT CAST(o_orderkey AS BIGINT) AS vid, CAST(1 + o_custkey % 7 AS INT) AS chr_idx, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 10000 + (o_orderkey % 28) * 16 ELSE 22900 + (o_orderkey % 22) * 100 END AS INT) AS pos, CASE WHEN o_orderkey % 3 = 0 THEN CAST(16 * (o_orderkey % 5) AS INT) END AS svlen FROM orders WHERE o_orderkey % 4 < 2)"
+_VARIANTS = "variants AS (SELECT CAST(o_orderkey AS BIGINT) AS vid, CAST(1 + o_custkey % 7 AS INT) AS chr_idx, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 10000 + (o_orderkey % 28) * 16 ELSE 22900 + (o_orderkey % 22) * 100 END AS INT) AS pos, CASE WHEN o_orderkey % 3 = 0 THEN CAST(16 * (o_orderkey % 5) AS INT) END AS svlen FROM orders)"
 
 
 @query("vcf_band_annotate", f"""{_SITES.replace("WITH ", "WITH " + _VARIANTS + ", ", 1)}, a AS (SELECT vid, chr_idx, 0 AS part, pos AS spot FROM variants UNION ALL SELECT vid, chr_idx, 1, pos + svlen FROM variants WHERE svlen IS NOT NULL),
