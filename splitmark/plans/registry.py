@@ -468,12 +468,12 @@ def gene_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gene", "chr", "start", "stop").unionByName(missing, allowMissingColumns=True)
 
 
-@query("extended_regions", f"""WITH {READS_ORACLE}, {REGIONS_SQL}, m AS (SELECT mate_chr AS chr, mate_start AS start, mate_start + length(bases) AS stop FROM reads WHERE flags % 3 = 0),
+@query("extended_regions", f"""WITH {READS_ORACLE}, {REGIONS_SQL}, m AS (SELECT mate_chr AS chr, mate_start AS start, mate_start + length(bases) AS stop FROM reads),
     e AS (SELECT chr, pos, sum(d) AS d FROM (SELECT chr, start AS pos, 1 AS d FROM m UNION ALL SELECT chr, stop + 1, -1 FROM m) GROUP BY 1, 2),
     c AS (SELECT chr, start, stop FROM (SELECT chr, pos AS start, lead(pos) OVER w - 1 AS stop, sum(d) OVER w AS depth FROM e WINDOW w AS (PARTITION BY chr ORDER BY pos)) WHERE depth > 2),
     o AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM regions_b b WHERE c.chr = b.chr AND c.start <= b.stop AND c.stop >= b.start)) SELECT chr, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop FROM {_ISLANDS.format("o")}""")
 def extended_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return novel.extended_regions(projection.reads(spark, sf_dir).where("flags % 3 = 0"), projection.regions(spark, sf_dir, "b"))
+    return novel.extended_regions(projection.reads(spark, sf_dir), projection.regions(spark, sf_dir, "b"))
 
 
 # --- annotation -----------------------------------------------------------------------------------------------------------------
