@@ -25,7 +25,7 @@ class WinnowParams:
     """``k``: code points of a gram. ``window``: successive grams of which one at least is chosen."""
 
     k: int = 16
-    window: int = 48
+    window: int = 8
 
 
 #: Multiplier of the polynomial and of the finalizer; any odd 64-bit constants would do.
