@@ -27,13 +27,15 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a new temporary folder
-    is made and kept for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset on one machine (tests), a new temporary folder is made and kept
+    for the session; on a cluster it is an error, as every executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not getattr(context, "_splitmark_dir", None):
         context._splitmark_dir = "file://" + tempfile.mkdtemp(prefix="splitmark-", dir=os.environ.get("TMPDIR"))
     return context._splitmark_dir
@@ -52,7 +54,17 @@ def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataF
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/splitmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._splitmark_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that :func:`written` made and that nothing will read any more."""
+    for table in tables:
+        path = table._splitmark_path
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def parallelism(spark: SparkSession) -> int:
