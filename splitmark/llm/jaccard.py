@@ -1,28 +1,32 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact Jaccard over word shingles settles them.
 
-Every distinct set of shingles has a signature in each tree of the forest. A tree is a trie over signatures; two sets are candidates
-where they share a prefix long enough in some tree. The prefix starts at the tree's full depth and is shortened until a pair at
-the threshold is met with the target probability. Prefixes are kept as sorted keys, so a trie's node is a run of equal keys.
-
-Copies count once: texts with equal shingle sets are one class. Candidate classes are grouped by the connected components of trie
-nodes, a component is cut into blocks, and each pair of blocks is verified by itself: shared shingles are counted by sparse and
-dense products, so pairs within a group are never emitted, only each class's number of links and its smallest linked class.
+Every distinct set of shingles has a signature of full depth in each tree of the forest. A tree is a prefix trie, kept as the sorted
+list of its signatures: neighbours in the list show how long a prefix they share, and a node of the trie is a stretch of the list.
+Matching begins with the full depth and shortens the prefixes by what was matched: level by level, the trees in which the
+shorter prefix brings the fewest new matches first, until the expected recall at the threshold meets its target. Crowded trees, in
+which a common shingle is the minimum of many sets, keep their longer prefixes.
+
+Copies count once: texts with equal shingle sets are one class. Classes that meet in a node are tied to the node's first class; the
+connected components of the ties are cut into blocks, and each pair of blocks is verified by itself: shared shingles are counted by
+sparse and dense products, so pairs within a group are never emitted, only each class's number of links and the smallest
+class that it is connected to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import batched, chain, groupby
+from itertools import groupby
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitmark.llm.common import map_rows
-from splitmark.llm.components import components
-from splitmark.session import parallelism, written
+from splitmark.llm.components import components, stars
+from splitmark.session import discard, parallelism, written
 
 
 @dataclass(frozen=True)
@@ -30,21 +34,16 @@ class ForestParams:
     words: int = 5  # of a shingle
     threshold: float = 0.8
     trees: int = 24
-    depth: int = 12  # full depth of a tree
-    recall: float = 0.999  # of pairs at the threshold
-    block: int = 512  # classes of a component verified against as many others at a time
+    depth: int = 12  # full depth of a tree: minima in a signature
+    least: int = 4  # shortest prefix
+    recall: float = 0.999  # expected, of pairs at the threshold
+    block: int = 256  # classes of a component verified against as many others at a time
+    block_shingles: int = 1 << 20  # and at most about so many shingles
     seed: int = 7
 
-    def prefix(self) -> int:
-        """Depth at which trees are matched: the longest prefix whose expected recall at the threshold reaches the target."""
-        for depth in range(self.depth, 1, -1):
-            if 1 - (1 - self.threshold**depth) ** self.trees >= self.recall:
-                return depth
-        return 1
-
 
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-S31, S29, S32 = np.uint64(31), np.uint64(29), np.uint64(32)
+S31, S29, S32, S16 = np.uint64(31), np.uint64(29), np.uint64(32), np.uint32(16)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,15 +52,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
-def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+class WordHashes(dict[str, int]):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+#: Words whose hashes are kept between texts.
+KEPT = 300_000
+
+
+def shingle_sets(texts: Iterable[str | None], words: int, known: WordHashes | None = None) -> Iterator[np.ndarray]:
     """The sorted 64-bit hashes of each text's shingles: runs of ``words`` words between white space, the whole text where it has
-    fewer; empty where it has none."""
-    split = [(t or "").split() for t in texts]
-    names = list(dict.fromkeys(chain.from_iterable(split)))
-    numbers = dict(zip(names, range(len(names)), strict=True))
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names), dtype=np.uint64, count=len(names))
-    for mine in split:
-        h = hashed[np.fromiter(map(numbers.__getitem__, mine), dtype=np.int64, count=len(mine))]
+    fewer; empty where it has none. ``known`` keeps word hashes from call to call."""
+    known = WordHashes() if known is None else known
+    for text in texts:
+        mine = (text or "").split()
+        if len(known) > KEPT:
+            known.clear()
+        h = np.fromiter(map(known.__getitem__, mine), dtype=np.uint64, count=len(mine))
         if not len(h):
             yield h
             continue
@@ -69,44 +80,111 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         whole = np.full(len(h) - n + 1, np.uint64(n))
         for at in range(n):
             whole = whole * STEP + h[at : len(h) - n + 1 + at]
-        yield np.unique(_mixed(whole))
+        whole = np.sort(_mixed(whole))
+        yield whole[np.concatenate(([True], whole[1:] != whole[:-1]))]
 
 
 class Forest:
-    """Prefix keys of every tree for a set of shingles."""
+    """Signatures of sets of shingles: of each tree its number, then ``depth`` minima, two bytes each, so that byte order is the order
+    of a trie."""
 
     def __init__(self, params: ForestParams) -> None:
         rng = np.random.default_rng(params.seed)
-        self.trees, self.depth = params.trees, params.prefix()
+        self.trees, self.depth = params.trees, params.depth
         size = self.trees * self.depth
-        self.flip = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size, dtype=np.uint64)
-        self.odd = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(self.trees * self.depth, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), 1024):
-            part = shingles[at : at + 1024]
-            least = np.minimum(least, ((part[:, None] ^ self.flip) * self.odd).min(axis=0))
-        rows = (least >> S32).reshape(self.trees, self.depth)
-        key = np.arange(1, self.trees + 1, dtype=np.uint64) * MIX_2
-        for level in range(self.depth):
-            key = _mixed((key + rows[:, level]) * STEP)
-        return key.astype(np.int64)
+        self.flip, odd = rng.integers(0, 1 << 32, (2, size), dtype=np.uint32)
+        self.odd, self.last = odd | np.uint32(1), rng.integers(0, 1 << 32, size, dtype=np.uint32) | np.uint32(1)
+        self.marks = [bytes([tree]) for tree in range(self.trees)]
+
+    def signature(self, shingles: np.ndarray) -> list[bytes]:
+        low = (shingles >> S32).astype(np.uint32)
+        least = np.full(self.trees * self.depth, np.iinfo(np.uint32).max, np.uint32)
+        for at in range(0, len(low), 256):
+            np.minimum(least, ((low[at : at + 256, None] ^ self.flip) * self.odd).min(axis=0), out=least)
+        raw = ((least * self.last) >> S16).astype(">u2").tobytes()  # which shingle it was, not how small its hash
+        width = 2 * self.depth
+        return [mark + raw[width * tree : width * (tree + 1)] for tree, mark in enumerate(self.marks)]
+
+
+def shared_prefix(a: bytes, b: bytes) -> int:
+    """Levels that two signatures of one tree share from the root; 0 for signatures of different trees."""
+    if a[0] != b[0]:
+        return 0
+    for at in range(1, len(a), 2):
+        if a[at : at + 2] != b[at : at + 2]:
+            return at // 2
+    return len(a) // 2
+
+
+def trie_ties(rows: Iterator[tuple], least: int) -> Iterator[tuple]:
+    """(tree, node, length, hubs, edge) along sorted signatures (key, node).
+
+    A class that shares ``length`` levels, ``least`` or more, with the one before it is tied to the first class of the nodes that both
+    lie in: ``hubs``, from level ``least`` to level ``length``. The first and the last signature of the list come with ``edge``, from
+    which :func:`stitched` ties this list to the one before it and the one behind it. Memory is that of one signature.
+    """
+    last, hubs, node = None, [], None
+    for key, node in rows:
+        if last is None:
+            hubs = [node] * (len(key) // 2 + 1)
+            yield key[0], node, 0, None, key
+        elif key[: 2 * least + 1] != last[: 2 * least + 1]:
+            hubs = [node] * len(hubs)
+        else:
+            length = shared_prefix(key, last)
+            hubs[length + 1 :] = [node] * (len(hubs) - length - 1)
+            yield key[0], node, length, hubs[least : length + 1], None
+        last = key
+    if last is not None:
+        yield last[0], node, -1, hubs, last
+
+
+def stitched(edges: list[tuple], least: int) -> list[tuple]:
+    """Ties (tree, node, length, hubs) from the first signature of each sorted list to the last of the list before it."""
+    out, behind = [], None
+    for tree, node, length, hubs, key in sorted(edges, key=lambda e: (e[4], e[1], -e[2])):
+        if length < 0:
+            behind = key, hubs
+        elif behind is not None and (shared := shared_prefix(key, behind[0])) >= least:
+            out.append((tree, node, shared, behind[1][least : shared + 1]))
+    return out
+
+
+def expected_recall(depths: list[int], similarity: float) -> float:
+    """Chance that a pair shares the prefix of at least one tree."""
+    return 1 - math.prod(1 - similarity**depth for depth in depths)
+
+
+def shortened(met: dict[tuple[int, int], int], params: ForestParams) -> list[int]:
+    """The prefix length at which each tree is matched. ``met``: how many classes share a prefix of just that length with the one before
+    them, by (tree, length).
+
+    All trees begin at full depth. The prefixes go from one level to the next tree by tree, those with the fewest new matches
+    first, and stay as they are once the expected recall at the threshold is reached (or all are as short as they may get).
+    """
+    depths = [params.depth] * params.trees
+    for level in range(params.depth - 1, params.least - 1, -1):
+        for tree in sorted(range(params.trees), key=lambda t: (met.get((t, level), 0), t)):
+            if expected_recall(depths, params.threshold) >= params.recall:
+                return depths
+            depths[tree] = level
+    return depths
 
 
 def signatures(docs: DataFrame, params: ForestParams) -> DataFrame:
-    """doc_id, node (128-bit hash of the shingle set; null without words), keys."""
+    """doc_id, text_hash, node (128-bit hash of the shingle set; null without words), shingles (how many), keys (by tree)."""
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        forest = Forest(params)
-        for some in batched(rows, 128):
-            for (doc_id, _), shingles in zip(some, shingle_sets([r[1] for r in some], params.words), strict=True):
-                if len(shingles):
-                    yield doc_id, xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes()), forest.keys(shingles).tolist()
-                else:
-                    yield doc_id, None, None
+        forest, known = Forest(params), WordHashes()
+        for doc_id, text, text_hash in rows:
+            shingles = next(shingle_sets([text], params.words, known))
+            if len(shingles):
+                yield doc_id, text_hash, xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes()), len(shingles), forest.signature(shingles)
+            else:
+                yield doc_id, text_hash, None, 0, None
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id bigint, node binary, keys array<bigint>", step)
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return map_rows(named, ["doc_id", "text", "text_hash"], "doc_id bigint, text_hash bigint, node binary, shingles bigint, keys array<binary>", step)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -142,20 +220,6 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None)
     return out[: len(left), len(left) :] if right is not None else out
 
 
-def _candidates(keys: np.ndarray, split: int | None) -> np.ndarray:
-    """[n, n] (or [split, n - split]) marks of sets that share a trie node: runs of equal keys in each tree's sorted list."""
-    n = len(keys)
-    marks = np.zeros((n, n), bool)
-    for tree in range(keys.shape[1]):
-        order = np.argsort(keys[:, tree], kind="stable")
-        sorted_keys = keys[order, tree]
-        cuts = np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1
-        for run in np.split(order, cuts):
-            if len(run) > 1:
-                marks[np.ix_(run, run)] = True
-    return marks if split is None else marks[:split, split:]
-
-
 def _smallest_linked(links: np.ndarray) -> np.ndarray:
     """Of each member the smallest place in its component of the links."""
     label = np.arange(len(links))
@@ -170,23 +234,21 @@ def _smallest_linked(links: np.ndarray) -> np.ndarray:
 def verify(members: list[tuple], cross: bool, threshold: float) -> Iterator[tuple]:
     """(node, links, linked documents, smallest node met) of each class of one block, or of two blocks against each other.
 
-    ``members``: (side, node, copies, keys, shingles), without repeated nodes.
+    ``members``: (side, node, copies, shingles), without repeated nodes.
     """
     members = sorted(members, key=lambda m: (m[0], m[1]))
-    sets = [np.frombuffer(m[4], "<u8") for m in members]
+    sets = [np.frombuffer(m[3], "<u8") for m in members]
     sizes, copies = np.array([len(s) for s in sets]), np.array([m[2] for m in members], dtype=np.int64)
-    keys = np.array([m[3] for m in members], dtype=np.int64)
     split = sum(m[0] == 0 for m in members) if cross else None
     if cross and split in (0, len(members)):
         return
-    marks = _candidates(keys, split)
     if len(members) == 2 and not cross:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         shared = np.array([[0, both], [both, 0]])
     else:
         shared = shared_counts(sets[:split], sets[split:]) if cross else shared_counts(sets)
     total = sizes[:split, None] + sizes[None, split:] if cross else sizes[:, None] + sizes[None, :]
-    linked = marks & (shared >= threshold * (total - shared) - 1e-9)
+    linked = shared >= threshold * (total - shared) - 1e-9
     if not cross:
         np.fill_diagonal(linked, False)
         square = linked
@@ -202,65 +264,115 @@ def verify(members: list[tuple], cross: bool, threshold: float) -> Iterator[tupl
             yield m[1], int(number[at]), int(weight[at]), members[place[label[rank[at]]]][1]
 
 
-def near_duplicates(docs: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copy_id, n_copies, n_links, n_text_links.
+def _ties(classes: DataFrame, params: ForestParams) -> DataFrame:
+    """(node, hub): classes tied to the first class of every trie node that they meet others in."""
+    leaves = classes.select(F.explode("keys").alias("key"), "node")
+    # By ranges of whole signatures and nodes, so that a crowded part of a tree, or one signature of many classes, may be split.
+    tries = leaves.repartitionByRange(parallelism(classes.sparkSession), "key", "node").sortWithinPartitions("key", "node")
+    found = written(map_rows(tries, ["key", "node"], "tree int, node binary, length int, hubs array<binary>, edge binary", lambda rows: trie_ties(rows, params.least)), "tries")
+    inner, seams = found.where("edge is null").drop("edge"), [tuple(r) for r in found.where("edge is not null").collect()]  # two rows for each partition
+    joined = classes.sparkSession.createDataFrame(stitched(seams, params.least), inner.schema)
+    met = {(r["tree"], r["length"]): r["count"] for r in inner.groupBy("tree", "length").count().collect()}  # a row for each tree and level
+    depth = F.get(F.array(*[F.lit(d) for d in shortened(met, params)]), F.col("tree"))
+    return inner.unionByName(joined).where(F.col("length") >= depth).select("node", F.get("hubs", depth - params.least).alias("hub"))
 
-    ``class_id`` is the smallest doc_id of the connected component of links at the threshold, ``copy_id`` of the rows with the same shingle
-    set, of which there are ``n_copies``. ``n_links`` counts the other rows that are linked directly, copies included;
-    ``n_text_links`` the other shingle sets.
 
-    Null and empty texts have no shingles: they are linked to nothing, not even to each other. A text of fewer words than a shingle
-    is one shingle. Repeated rows are copies. Null ids stay null. An empty table gives an empty result.
-    """
-    signed = written(signatures(docs, params), "signatures")
-    n = max(1, signed.count())
-    classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("keys").alias("keys")), "classes", n)
-    # Trie nodes with two classes or more; each class is tied to the smallest of its trie node.
-    held = classes.select("node", F.explode("keys").alias("key"))
-    runs = written(held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub"), "runs", n * params.trees)
-    ties = held.join(runs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(ties, nodes=n)
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    members = written(groups.join(sizes, "label").select("node", "label", F.ceil(F.col("n") / params.block).cast("int").alias("blocks")).join(classes, "node"), "members", n)
-    # Shingles of one text of each class; texts that share its id but not its shingles are left out by their hash.
-    rows = docs.select(F.col("doc_id").alias("copy_id"), "text").join(members, "copy_id")
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row for each shingle set: node, first (the row, by id and text, that stands for it), n_copies, shingles, keys. Null ids come last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    return signed.where("node is not null").groupBy("node").agg(first, F.count("*").alias("n_copies"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+
+
+def _shingled(docs: DataFrame, members: DataFrame, params: ForestParams) -> DataFrame:
+    """(node, label, blocks, n_copies, shingles) of one text of each class."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    # Rows without an id are told apart by their texts alone, and each text is taken once, however many there are.
+    unnamed = texts.where("doc_id is null").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text")).select(*texts.columns)
+    asked = members.select("node", "label", "blocks", "n_copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = texts.where("doc_id is not null").unionByName(unnamed).join(asked, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for some in batched(rows, 128):
-            for (text, node, *rest), shingles in zip(some, shingle_sets([r[0] for r in some], params.words), strict=True):
-                raw = shingles.astype("<u8").tobytes()
-                if xxhash.xxh3_128_digest(raw) == bytes(node):
-                    yield node, *rest, raw
+        known = WordHashes()
+        for text, node, *rest in rows:
+            raw = next(shingle_sets([text], params.words, known)).astype("<u8").tobytes()
+            if xxhash.xxh3_128_digest(raw) == bytes(node):
+                yield node, *rest, raw
+
+    return map_rows(rows, ["text", "node", "label", "blocks", "n_copies"], "node binary, label binary, blocks int, n_copies bigint, shingles binary", step)
 
-    cut = map_rows(rows, ["text", "node", "label", "blocks", "n_copies", "keys"], "node binary, label binary, blocks int, n_copies bigint, keys array<bigint>, shingles binary", step)
+
+def _links(cut: DataFrame, params: ForestParams) -> DataFrame:
+    """(node, n_text_links, linked, low) of every block and pair of blocks in which a class has links."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n_copies", "keys", "shingles")
-    tasks = placed.repartition(parallelism(docs.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    placed = placed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n_copies", "shingles")
+    tasks = placed.repartition(parallelism(cut.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
 
     def check(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (_, i, j), group in groupby(rows, key=lambda r: r[:3]):
             once = {r[4]: r[3:] for r in group}
             yield from verify(list(once.values()), i != j, params.threshold)
 
-    found = map_rows(tasks, ["label", "i", "j", "side", "node", "n_copies", "keys", "shingles"], "node binary, n_text_links bigint, linked bigint, low binary", check)
-    links = written(found, "links")
+    return map_rows(tasks, ["label", "i", "j", "side", "node", "n_copies", "shingles"], "node binary, n_text_links bigint, linked bigint, low binary", check)
+
+
+def _grouped(docs: DataFrame, params: ForestParams) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, text_hash, node, and of its class ``first``, ``least`` (the first row of the component),
+    n_copies, n_text_links and linked (documents of linked classes)."""
+    signed = written(signatures(docs, params), "signatures")
+    n = max(1, signed.count())
+    classes = written(_classes(signed), "classes", n)
+    groups = components(stars(_ties(classes, params), "node", "hub"), nodes=n)
+    known = groups.join(classes.select("node", "first", "n_copies", "shingles"), "node")
+    sizes = known.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / params.block, F.sum("shingles") / params.block_shingles)).cast("int").alias("blocks"))
+    members = written(known.join(sizes, "label").select("node", "label", "blocks", "first", "n_copies"), "members", n)
+    links = written(_links(_shingled(docs, members, params), params), "links")
+    discard(groups, members)
     counted = links.groupBy("node").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("linked").alias("linked"))
-    joined = components(links.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), nodes=n)
-    named = classes.select("node", "copy_id", "n_copies").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    final = written(named.join(lowest, "label").join(counted, "node", "left").select("node", "class_id", "copy_id", "n_copies", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("linked", F.lit(0)).alias("linked")), "classes", n)
-    known = signed.where("node is not null").select("doc_id", "node").join(final, "node")
-    known = known.select("doc_id", "class_id", "copy_id", "n_copies", (F.col("n_copies") - 1 + F.col("linked")).alias("n_links"), "n_text_links")
-    alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_text_links"))
-    return known.unionByName(alone)
+    joined = components(stars(links.where("node <> low"), "node", "low"), nodes=n)
+    named = classes.select("node", "first", "n_copies").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = named.groupBy("label").agg(F.min("first").alias("least"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    final = written(named.join(lowest, "label").join(counted, "node", "left").select("node", "first", "least", "n_copies", zero("n_text_links"), zero("linked")), "final", n)
+    discard(classes, links, joined)
+    return signed.select("doc_id", "text_hash", "node").join(final, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, copy_id, n_copies, n_links, n_text_links.
+
+    ``class_id`` is the smallest doc_id of the connected component of links at the threshold, ``copy_id`` of the rows with the same shingle
+    set, of which there are ``n_copies``. ``n_links`` counts the other rows that are linked directly, copies included;
+    ``n_text_links`` the other shingle sets.
+
+    Null and empty texts have no shingles: they are linked to nothing, not even to each other. A text of fewer words than a shingle
+    is one shingle. Rows count by their texts: repeated rows are copies, rows that share an id and not the text are documents of
+    their own, and rows without an id are linked like others; a component all of whose ids are null has a null ``class_id``. An empty
+    table gives an empty result.
+    """
+    own = lambda c, value: F.when(F.col("node").isNull(), value).otherwise(F.col(c))
+    zero, id_ = F.lit(0).cast("bigint"), F.col("doc_id")
+    links = F.col("n_copies") - 1 + F.col("linked")
+    return _grouped(docs, params).select(
+        "doc_id", own("least.doc_id", id_).alias("class_id"), own("first.doc_id", id_).alias("copy_id"), F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"), F.coalesce(links, zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links")
+    )
+
+
+def _same_row(doc_id: Column, text_hash: Column, row: Column) -> Column:
+    return doc_id.eqNullSafe(row["doc_id"]) & (text_hash == row["text_hash"])
 
 
 def one_of_each(docs: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class, all columns kept; repeated rows of such an id stay once.
+    """Of each connected component of near duplicates one row of ``docs``, all columns kept: that with the smallest id, and where rows of
+    other texts share the id, the smallest hash of the text; of rows that agree in both any one.
 
-    Rows with a null id stay, as nothing tells them apart.
+    A row whose text has no words is linked to nothing and stays, repeated or not. Rows without an id are told apart by their texts; one
+    of them stands for a component only where none has an id.
     """
-    first = near_duplicates(docs, params).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    found = _grouped(docs, params)
+    wordless = F.col("node").isNull()
+    chosen = found.where(wordless | _same_row(F.col("doc_id"), F.col("text_hash"), F.col("least"))).select("doc_id", "text_hash", wordless.alias("wordless")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash")))
+    once = kept.where("not wordless").dropDuplicates(["doc_id", "text_hash"])
+    return once.unionByName(kept.where("wordless")).select("row.*")

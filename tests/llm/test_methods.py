@@ -224,11 +224,84 @@ def test_no_link_is_lost(spark, texts, block):
     assert kept == set(label.values())
 
 
-def test_prefixes_are_shortened_until_the_recall_is_met():
-    params = jaccard.ForestParams()
-    meets = lambda d: 1 - (1 - params.threshold**d) ** params.trees >= params.recall
-    assert meets(params.prefix())
-    assert not meets(params.prefix() + 1)
+def test_prefixes_are_shortened_by_what_is_met_until_the_recall_is_reached():
+    params = jaccard.ForestParams(trees=6, depth=8, least=2, recall=0.87)
+    crowded = {(tree, level): 1000 if tree in (1, 4) else 5 for tree in range(6) for level in range(1, 8)}
+    depths = jaccard.shortened(crowded, params)
+    assert jaccard.expected_recall(depths, 0.8) >= 0.87
+    assert min(depths[1], depths[4]) > min(depths)  # crowded trees keep the longer prefix
+    longest = max(range(6), key=lambda t: (depths[t], t))
+    back = max(t for t in range(6) if depths[t] == min(depths) and t not in (1, 4))
+    assert jaccard.expected_recall([d + (t == back) for t, d in enumerate(depths)], 0.8) < 0.87  # and no prefix is shorter than it has to be
+    assert depths[longest] - min(depths) <= 1
+    assert jaccard.shortened({}, jaccard.ForestParams(recall=1.0)) == [4] * 24
+
+
+def test_ties_of_sorted_tries_are_those_of_prefixes():
+    rng, least = random.Random(6), 2
+    rows = sorted((bytes([t]) + bytes(rng.choice(b"ab") for _ in range(2) for _ in range(4)), i.to_bytes(2, "big")) for i in range(80) for t in range(2))
+    for cuts in ([], [40], [1, 2, 50, 51, 90]):  # lists as ranges split them; some of a single signature
+        lists = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        made = [r for part in lists for r in jaccard.trie_ties(iter(part), least)]
+        ties = [r[:4] for r in made if r[4] is None] + jaccard.stitched([r for r in made if r[4] is not None], least)
+        for depth in (2, 3, 4):
+            up = {}
+
+            def root(x, up=up):
+                while up.get(x, x) != x:
+                    x = up[x]
+                return x
+
+            for tree, node, length, hubs in ties:
+                assert len(hubs) == length - least + 1
+                if length >= depth:
+                    up[root((tree, node))] = root((tree, hubs[depth - least]))
+            for a, b in ((a, b) for a in rows for b in rows if a[0][0] == b[0][0]):
+                same = a[0][: 1 + 2 * depth] == b[0][: 1 + 2 * depth]
+                assert same == (root((a[0][0], a[1])) == root((b[0][0], b[1])))
+
+
+def test_signatures_agree_as_often_as_sets_are_alike():
+    rng, forest = np.random.default_rng(8), jaccard.Forest(jaccard.ForestParams())
+    for size, shared in ((300, 240), (40, 36), (5000, 4600)):
+        agreed = []
+        for _ in range(60):
+            pool = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+            a, b = pool[:size], np.concatenate([pool[:shared], pool[size : 2 * size - shared]])
+            rows = [np.frombuffer(b"".join(k[1:] for k in forest.signature(s)), ">u2") for s in (a, b)]
+            agreed.append(np.mean(rows[0] == rows[1]))
+        assert abs(np.mean(agreed) - shared / (2 * size - shared)) < 0.02
+
+
+def test_recall_of_the_forest_over_the_whole_table(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        known = dict(duckdb.sql(f"SELECT doc_id, text FROM '/root/testdata/{sf}/documents.parquet'").fetchall())
+        links, label = brute_links(known)
+        rows = jaccard.near_duplicates(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+        assert sum(r["n_links"] for r in rows) >= 0.99 * sum(map(len, links.values()))
+        assert np.mean([r["class_id"] == label[r["doc_id"]] for r in rows]) >= 0.99
+
+
+def near_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_rows_that_share_an_id_and_not_the_text_are_documents_of_their_own(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black grey")
+    docs = near_rows(spark, [(3, b), (5, a), (5, b), (5, c)])
+    assert sorted(map(tuple, jaccard.one_of_each(docs).collect())) == [(3, b), (5, a), (5, c)]
+    found = jaccard.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == [(3, 3, 1), (5, 3, 1), (5, 5, 0), (5, 5, 0)]
+
+
+def test_rows_without_an_id_are_linked_like_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, far = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    docs = near_rows(spark, [(None, a), (None, a), (None, near), (None, far), (7, far), (None, ""), (None, "")])
+    rows = [tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "class_id", "n_copies", "n_links", "n_text_links").collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [(None, None, 2, 2, 1), (None, None, 2, 2, 1), (None, None, 1, 2, 1), (None, 7, 2, 1, 0), (7, 7, 2, 1, 0), (None, None, 1, 0, 0), (None, None, 1, 0, 0)]))
+    kept = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+    assert sorted(map(str, kept)) in [sorted(map(str, [(None, t), (7, far), (None, ""), (None, "")])) for t in (a, near)]
 
 
 def test_shared_counts(texts):
@@ -243,9 +316,29 @@ def test_shared_counts(texts):
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, 201)]
     found = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {found[i] for i in range(51)} == {0}
-    assert {found[100 + i] for i in range(40)} == {100}
-    assert found[201] == 200
+    groups = [set(range(51)), set(range(100, 140)), {200, 201}]
+    assert set(found) == set().union(*groups)
+    for group in groups:
+        labels = {found[i] for i in group}
+        assert len(labels) == 1
+        assert labels <= group
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stars_keep_components_with_few_edges(spark):
+    rng = random.Random(1)
+    ties = [(node, rng.randrange(20) * 1000) for node in range(300) for _ in range(5)]
+    edges = [tuple(r) for r in components.stars(spark.createDataFrame(ties, "node long, hub long")).collect()]
+    assert len(edges) <= 300 + 20 * 20
+
+    def parts(pairs):
+        label = {x: x for p in pairs for x in p}
+        for _ in range(len(label)):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert parts(edges) == parts(ties)
 
 
 # --- chat
