@@ -273,13 +273,11 @@ def test_signatures_agree_as_often_as_sets_are_alike():
         assert abs(np.mean(agreed) - shared / (2 * size - shared)) < 0.02
 
 
-def test_recall_of_the_forest_over_the_whole_table(spark):
-    for sf in ("sf0.01", "sf0.1"):
-        known = dict(duckdb.sql(f"SELECT doc_id, text FROM '/root/testdata/{sf}/documents.parquet'").fetchall())
-        links, label = brute_links(known)
-        rows = jaccard.near_duplicates(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
-        assert sum(r["n_links"] for r in rows) >= 0.99 * sum(map(len, links.values()))
-        assert np.mean([r["class_id"] == label[r["doc_id"]] for r in rows]) >= 0.99
+def test_recall_of_the_forest_over_the_whole_table(spark, texts):
+    links, label = brute_links(texts)
+    rows = jaccard.near_duplicates(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    assert sum(r["n_links"] for r in rows) >= 0.99 * sum(map(len, links.values()))
+    assert np.mean([r["class_id"] == label[r["doc_id"]] for r in rows]) >= 0.99
 
 
 def near_rows(spark, rows):
