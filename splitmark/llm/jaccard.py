@@ -289,7 +289,8 @@ def _shingled(docs: DataFrame, members: DataFrame, params: ForestParams) -> Data
     # Rows without an id are told apart by their texts alone, and each text is taken once, however many there are.
     unnamed = texts.where("doc_id is null").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text")).select(*texts.columns)
     asked = members.select("node", "label", "blocks", "n_copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    rows = texts.where("doc_id is not null").unionByName(unnamed).join(asked, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # Classes with company may be most of the table, so this join is a shuffle at any size.
+    rows = texts.where("doc_id is not null").unionByName(unnamed).join(asked.hint("merge"), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = WordHashes()
