@@ -12,10 +12,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,11 +35,14 @@ class PackParams:
 
 #: Python takes these for white space and the tokenizer doesn't; texts with a special token's sign are left to it as well.
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-#: Letters that are lower-cased one by one and are in composed form already, then marks that the tokenizer cuts off (an apostrophe
-#: may belong to a contraction, so it isn't among them).
-WORD = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Chunks whose ids a process keeps, and words encoded in one call.
-KEPT, AT_ONCE = 600_000, 50_000
+#: Letters that are lower-cased one by one and are in composed form already.
+LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+")
+#: Marks that the tokenizer cuts off behind letters (an apostrophe may belong to a contraction, so it isn't among them).
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Chunks whose ids a process keeps, words encoded in one call, and words looked up together.
+KEPT, AT_ONCE, STRETCH = 400_000, 50_000, 1 << 20
+#: Texts that are looked up together: so many, or as many as make up so many characters.
+TEXTS, CHARS = 512, 1 << 22
 
 
 class WordTokenizer:
@@ -59,63 +63,63 @@ class WordTokenizer:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > KEPT:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks. A chunk is kept from the second time on that its word is met, so words that stand in one text alone don't crowd
+        the others out."""
+        if len(self.known) > KEPT:
             self.known = {}
-        if len(self.words) + len(chunks) > KEPT:
+        if len(self.words) > KEPT:
             self.words = {}
         if len(self.tails) > 10_000:
             self.tails = {"": b""}
-        known, words, tails, cut, new = self.known, self.words, self.tails, [], {}
+        known, words, tails, cut, out = self.known, self.words, self.tails, [], {}
         for chunk in chunks:
-            m = WORD.fullmatch(chunk)
-            if m is None:
-                known[chunk] = self._ids(chunk).tobytes()
+            bare = chunk.rstrip(TAIL)
+            if not (bare.isascii() and bare.isalpha()) and LETTERS.fullmatch(bare) is None:
+                out[chunk] = known[chunk] = self._ids(chunk).tobytes()
                 continue
-            word, tail = m.groups()
-            word = word.lower()
+            word, tail = bare.lower(), chunk[len(bare) :]
             if tail not in tails:
                 tails[tail] = self._ids(tail).tobytes()
-            if word not in words:
-                new[word] = None
-            cut.append((chunk, word, tail))
-        fresh = list(new)
+            ids = words.get(word)
+            if ids is None:
+                cut.append((chunk, word, tail))
+            else:
+                out[chunk] = known[chunk] = ids + tails[tail] if tail else ids
+        fresh = list(dict.fromkeys([word for _, word, _ in cut]))
         for at in range(0, len(fresh), AT_ONCE):
             part = fresh[at : at + AT_ONCE]
             ids = self._ids(" ".join(part))
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            raw = ids.tobytes()
-            words.update(zip(part, map(lambda a, b: raw[a:b], [0, *ends[:-1]], ends), strict=True))
-        for chunk, word, tail in cut:
-            known[chunk] = words[word] + tails[tail] if tail else words[word]
-
-    def _joined(self, words: list[str]) -> bytes:
-        out = []
-        for at in range(0, len(words), AT_ONCE):
-            part = words[at : at + AT_ONCE]
-            if fresh := [w for w in dict.fromkeys(part) if w not in self.known]:
-                self._learn(fresh)
-                if fresh := [w for w in dict.fromkeys(part) if w not in self.known]:  # what was kept has been let go meanwhile
-                    self._learn(fresh)
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+            words.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        out.update([(chunk, words[word] + tails[tail] if tail else words[word]) for chunk, word, tail in cut])
+        return out
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after another, how many of them each word has); each distinct word is looked up once."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, names))
+        if None in ids:
+            new = self._learn([w for w, i in zip(names, ids, strict=True) if i is None])
+            ids = [new[w] if i is None else i for w, i in zip(names, ids, strict=True)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begins, flat, codes = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        counts = sizes[codes]
+        places = np.arange(counts.sum()) + np.repeat(begins[codes] - (np.cumsum(counts) - counts), counts)
+        return flat[places], counts
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, one after another."""
-        split = [None if any(mark in t for mark in WHOLE) else t.split() for t in texts]
-        met: set[str] = set().union(*(words for words in split if words and len(words) <= AT_ONCE))
-        known = self.known
-        fresh = [w for w in met if w not in known]
-        if 0 < len(fresh) < KEPT // 2:
-            self._learn(fresh)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self._ids(text).tobytes()
-                continue
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                yield self._joined(words)
+        """Little-endian unsigned 32-bit ids of each text, one after another. The texts' words are looked up together, those of long texts by
+        stretches."""
+        whole = [any(mark in t for mark in WHOLE) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.string()))
+        words, bounds = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+        parts = [self._looked_up(words.slice(at, STRETCH)) for at in range(0, len(words), STRETCH)]
+        ids, counts = (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, "<u4") for n in (0, 1))
+        ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[bounds]
+        for n, text in enumerate(texts):
+            yield (self._ids(text) if whole[n] else ids[ends[n] : ends[n + 1]]).tobytes()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -165,33 +169,48 @@ def first_fit_decreasing(lengths: list[int], length: int) -> list[tuple[int, int
     return out
 
 
+def _lots(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[1] or "")
+        if len(held) >= TEXTS or chars >= CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 def pieces(docs: DataFrame, params: PackParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, copy, start, length, ids_crc32, doc_tokens; each piece holds ``params.length`` ids at most.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, row (the document's place in its task); each piece holds
+    ``params.length`` ids at most.
 
     A null text counts as empty and still has its end id. Repeated rows are documents of their own.
     """
     path, most, end = params.tokenizer, params.length, np.array([params.end_id], dtype="<u4").tobytes()
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = tokenizer(path)
-        for some in batched(rows, 128):
+        own, row = tokenizer(path), 0
+        for some in _lots(rows):
             for (doc_id, _), ids in zip(some, own.encode([text or "" for _, text in some]), strict=True):
                 ids += end
-                total = len(ids) // 4
+                row, total = row + 1, len(ids) // 4
                 for start in range(0, total, most):
                     cut = ids[4 * start : 4 * (start + most)]
-                    yield doc_id, start, len(cut) // 4, zlib.crc32(cut), total
+                    yield doc_id, start, len(cut) // 4, zlib.crc32(cut), total, row
 
-    return map_rows(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, ["doc_id", "text"], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", step, keep="tokenizers")
+    return map_rows(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, ["doc_id", "text"], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint", step, keep="tokenizers")
 
 
 def pack(docs: DataFrame, params: PackParams) -> DataFrame:
     """One row per piece with its sequence and place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``sequence_id`` is the group's number times 2^32 plus the sequence's number in it. Offsets of a sequence run without gaps from
-    0. Pieces are ordered by length, then doc_id, start and crc, so ties and repeated rows give the same packing each time. An
-    empty table gives an empty result. Only ids and lengths are shuffled, never texts; a group holds about
-    ``params.group_rows`` rows at any size of the input, as the number of groups follows the number of documents.
+    0. Pieces are ordered by length, then doc_id, start and crc, so ties give the same packing each time. Groups are dealt by id,
+    piece and the document's place in its part of the table, so one id on very many rows, or none, is spread like any other and
+    the packing is the same for the same parts. An empty table gives an empty result. Only ids and lengths are shuffled, never
+    texts; a group holds about ``params.group_rows`` rows at any size of the input, as the number of groups follows the number of
+    documents.
     """
     count = docs.count()
     groups = max(1, -(-count // params.group_rows))
@@ -203,5 +222,5 @@ def pack(docs: DataFrame, params: PackParams) -> DataFrame:
         group = int(rows["part"].iloc[0])
         return rows.drop(columns="part").assign(sequence_id=[(group << 32) + s for s, _ in placed], offset=[o for _, o in placed])
 
-    found = pieces(docs, params).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", F.lit(params.seed)), F.lit(groups)))
+    found = pieces(docs, params).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "row", F.lit(params.seed)), F.lit(groups))).drop("row")
     return found.groupBy("part").applyInPandas(packed, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

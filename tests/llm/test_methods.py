@@ -411,9 +411,10 @@ def test_first_fit_decreasing_against_a_plain_scan():
 
 def test_kept_words_give_the_tokenizers_ids(texts, monkeypatch):
     own, inner = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    odd = ["L'été d'İstanbul it's ΣΑΣ <|endoftext|> a\x1cb ½ ①", "don't!!'s 'S", "a|b | c", "ét", "", " \n ", "“q”—d…", "ﬁ Ǆ ŉ ſ K ẞ", "a_b 12ab ab12 x́", "word.word,word!?*"]
-    for kept in (600_000, 50):
+    odd = ["L'été d'İstanbul it's ΣΑΣ <|endoftext|> a\x1cb ½ ①", "don't!!'s 'S", "a|b | c", "ét", "", " \n ", "“q”—d…", "ﬁ Ǆ ŉ ſ K ẞ", "a_b 12ab ab12 x́", "word.word,word!?*", "a\u00a0b\u2003c\u3000d\u0085e\u2028f", "x\u200by\u180ez\ufeffw", "\u1680 \u205f\u202f"]
+    for kept, stretch in ((600_000, 1 << 20), (50, 7)):
         monkeypatch.setattr(packing, "KEPT", kept)
+        monkeypatch.setattr(packing, "STRETCH", stretch)
         some = odd + list(texts.values())[:150]
         for text, raw in zip(some, own.encode(some), strict=True):
             assert np.frombuffer(raw, "<u4").tolist() == inner.encode(text, add_special_tokens=False).ids, text
