@@ -86,6 +86,23 @@ def hash_sample(rows: DataFrame, by: str, counts: dict[str, int], most: int, id_
     return rows.where(place < F.coalesce(share, F.lit(0.0)))
 
 
+def bounded_window(text: Column, most: int) -> Column:
+    """``most`` characters of a text at a place chosen by its hash; a shorter text as it is, a null text empty."""
+    text = F.coalesce(text, F.lit(""))
+    over = F.greatest(F.char_length(text) - most, F.lit(0))
+    return F.substring(text, F.pmod(F.xxhash64(text), (over + 1).cast("bigint")).cast("int") + 1, F.lit(most))
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, most: int) -> list[tuple[str, int]]:
+    """(text, label) of the documents in ``known`` (doc_id, label), in order of ids.
+
+    Both the rows and their size are bounded: an id counts once, with the smallest of its texts where it has several, and of a text there
+    are at most ``most`` characters, from a place chosen by its hash.
+    """
+    rows = docs.select("doc_id", bounded_window(F.col("text"), most).alias("text")).join(F.broadcast(known), "doc_id")
+    return [(r["text"], r["label"]) for r in rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
+
+
 def bounded_labels(labels: DataFrame, column: str, folds: int, most: int) -> DataFrame:
     """(doc_id, label) of at most ``most`` rows of each label, chosen by a hash of the id; held-out ids and null labels are left out.
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitmark.llm.common import hash_sample, map_rows, split_of
+from splitmark.llm.common import bounded_window, hash_sample, map_rows, split_of
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
@@ -30,9 +30,9 @@ class LanguageParams:
     folds: int = 4
     held_out: int = 2
     documents: int = 128  # sampled of each language, as expected
-    passage: int = 2048  # characters of each sampled document
+    passage: int = 2048  # characters of each sampled document, from a place chosen by its hash
     dictionary: int = 65536  # bytes of each dictionary
-    languages: int = 64  # the commonest, if there are more
+    languages: int = 1024  # more are refused
     block: int = 300  # bytes compressed at a time
     level: int = 12
     margin: float = 0.02  # of the smaller size; below it a text is rejected
@@ -85,13 +85,16 @@ class CompressionModel:
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> CompressionModel:
     """Dictionaries from the text and the non-null ``lang`` of documents outside the held-out fold.
 
-    The sample is bounded by ``params``: so many passages of each of so many languages, chosen by a hash of the id. Shares are
-    counted over all learnable rows. Without learnable rows the model is empty and every text is undetermined.
+    The sample is bounded by ``params``: so many passages of each language, chosen by a hash of the id. Shares are counted over all
+    learnable rows, and every language is learned; more than ``params.languages`` are an error. Without learnable rows the model
+    is empty and every text is undetermined.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of(F.col("doc_id"), params.folds) != params.held_out)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(params.languages + 1).collect()}
+    if len(counts) > params.languages:
+        raise ValueError(f"more than {params.languages} languages")
     filled: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    picked = hash_sample(known, "lang", counts, params.documents).select("doc_id", "lang", F.substring("text", 1, params.passage).alias("text"))
+    picked = hash_sample(known, "lang", counts, params.documents).select("doc_id", "lang", bounded_window(F.col("text"), params.passage).alias("text"))
     for row in sorted(picked.collect(), key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["text"])):
         filled[row["lang"]].append(normalised(row["text"]))
     raw = {lang: b"".join(parts)[: params.dictionary] for lang, parts in filled.items()}
@@ -118,5 +121,7 @@ def identify(docs: DataFrame, model: CompressionModel) -> DataFrame:
 
 
 def op8_compression_langid(docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, lang_id, one row per row of ``docs``, as from :func:`identify`; a null id has a null
+    ``held_out`` and is not learned from."""
     found = identify(docs, fit(docs, params))
     return found.select("doc_id", (split_of(F.col("doc_id"), params.folds) == params.held_out).alias("held_out"), "lang_pred", "score", "lang_id")

@@ -29,7 +29,7 @@ WRITE_EVERY = 8
 @dataclass(frozen=True)
 class MixParams:
     most: int = 2000  # labelled documents of each domain that are learned from, as expected
-    domains: int = 16  # the commonest, if there are more
+    domains: int = 64  # more are refused
     buckets: int = 4096  # of hashed words
     evidence: float = 60.0  # words that a document's mean log odds count for
     weights: dict[str, float] = field(default_factory=dict)  # target share by domain; domains without one share what is left
@@ -63,9 +63,12 @@ class DomainModel:
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, params: MixParams = MixParams()) -> DomainModel:
     """A multinomial model of hashed words by domain, from a bounded sample of each; what comes to the driver is a count for each domain
-    and bucket. An id with several labels counts with its smallest. Without labels there is one domain, ``all``."""
+    and bucket. An id with several labels counts with its smallest. Every domain is learned; more than ``params.domains`` are an
+    error. Without labels there is one domain, ``all``."""
     one = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    counts = {r["domain"]: r["n"] for r in one.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(params.domains).collect()}
+    counts = {r["domain"]: r["n"] for r in one.groupBy("domain").agg(F.count("*").alias("n")).limit(params.domains + 1).collect()}
+    if len(counts) > params.domains:
+        raise ValueError(f"more than {params.domains} domains")
     if not counts:
         return DomainModel(["all"], [0.0], [])
     picked = hash_sample(one, "domain", counts, params.most)
@@ -128,6 +131,10 @@ class Mixture:
     reached: list[float]
     rate: Column
 
+    def error(self) -> float:
+        """The largest miss of a target, as a share of its domain's natural total."""
+        return max((abs(r - t) / n for r, t, n in zip(self.reached, self.targets, self.natural, strict=True) if n > 0), default=0.0)
+
 
 def fit_rates(table: DataFrame, domains: list[str], params: MixParams) -> Mixture:
     """Rates for a table with ``mix_tokens`` and ``mix_posterior``. Only one sum for each domain comes to the driver in a step.
@@ -166,13 +173,17 @@ def fit_rates(table: DataFrame, domains: list[str], params: MixParams) -> Mixtur
 
 
 def copies(rate: Column, key: Column) -> Column:
-    """Whole copies with the rate as expectation: its floor, and one more where a hash of the id falls below the rest."""
-    uniform = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """Whole copies with the rate as expectation: its floor, and one more where a hash of the id falls below the rest. Rows without an id
+    are told apart by their place in the table; rows that share an id round alike."""
+    uniform = F.pmod(F.xxhash64(F.coalesce(key, F.monotonically_increasing_id()), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + (uniform < rate - F.floor(rate)).cast("int")).cast("bigint")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, tokens, domain (likeliest), posterior, rate, copies.
+    """One row per row of ``docs``: doc_id, tokens, domain (likeliest), posterior, rate, copies, target_error.
+
+    ``target_error`` is the same in every row: by how much, at most, a domain's expected total misses its target under these rates, as a
+    share of the domain's natural total. The steps end at ``params.tolerance``, at ``params.steps``, or where they no longer gain.
 
     Null and empty texts have no tokens and the prior as posterior. Repeated rows count as often as they stand there. An empty table
     gives an empty result.
@@ -183,11 +194,12 @@ def mix(docs: DataFrame, labelled: DataFrame, params: MixParams = MixParams()) -
     found = fit_rates(table, model.domains, params)
     likeliest = F.get(F.lit(model.domains), (F.array_position("mix_posterior", F.array_max("mix_posterior")) - 1).cast("int"))
     rated = table.withColumn("mix_rate", found.rate)
-    return rated.select("doc_id", F.col("mix_tokens").alias("tokens"), likeliest.alias("domain"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"), copies(F.col("mix_rate"), F.col("doc_id")).alias("copies"))
+    return rated.select("doc_id", F.col("mix_tokens").alias("tokens"), likeliest.alias("domain"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"), copies(F.col("mix_rate"), F.col("doc_id")).alias("copies"), F.lit(found.error()).alias("target_error"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, params: MixParams) -> DataFrame:
-    """Each row of ``docs`` as often as its rate has it, with the columns of ``docs``."""
+    """Each row of ``docs`` as often as its rate has it, with the columns of ``docs``. Null and empty texts have no tokens and the prior as
+    posterior; an empty table stays empty."""
     model = fit_domains(docs, labelled, params)
     table = written(with_posteriors(docs, model, params), "posteriors")
     found = fit_rates(table.select("mix_tokens", "mix_posterior"), model.domains, params)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitmark.llm.common import bounded_labels, map_rows, split_of
+from splitmark.llm.common import bounded_labels, labelled_texts, map_rows, split_of
 
 MARKS = re.compile(r"[\W_]+")
 TAIL = re.compile(r"[\W_]+$")
@@ -27,6 +27,7 @@ TAIL = re.compile(r"[\W_]+$")
 class QualityParams:
     folds: int = 5
     most: int = 2000  # labelled documents of each label: the bound on what is broadcast
+    chars: int = 50_000  # of a labelled document that are learned from
     buckets: int = 4096  # of hashed words
     shapes: int = 256  # of hashed word shapes
     rank: int = 64
@@ -105,6 +106,9 @@ class NeighbourModel:
         near = self.project(self.counter.rows(texts)) @ self.vectors.T
         k = min(self.counter.params.neighbours, near.shape[1])
         chosen = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(near, chosen, 1).min(axis=1)
+        for row in np.flatnonzero((near >= last[:, None]).sum(axis=1) > k):  # ties at the last place go to the first of the labelled
+            chosen[row] = np.argsort(-near[row], kind="stable")[:k]
         weight = np.maximum(np.take_along_axis(near, chosen, 1), 1e-3).astype(np.float64) ** self.counter.params.power
         return (weight * self.labels[chosen]).sum(1) / weight.sum(1)
 
@@ -125,16 +129,21 @@ def train(texts: list[str | None], labels: np.ndarray, params: QualityParams = Q
     for _ in range(3):
         q = np.linalg.qr(x @ (x.T @ q))[0]
     basis = np.ascontiguousarray(np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32))
-    model = NeighbourModel(counter, basis, np.zeros((0, rank), np.float32), labels)
-    model.vectors = model.project(x)
+    # Copies of a text are one neighbour, with the mean of their labels.
+    names = list(dict.fromkeys(texts))
+    place = dict(zip(names, range(len(names)), strict=True))
+    copies = np.array([place[t] for t in texts])
+    sums, first = np.bincount(copies, labels) / np.bincount(copies), np.unique(copies, return_index=True)[1]
+    model = NeighbourModel(counter, basis, np.zeros((0, rank), np.float32), sums)
+    model.vectors = model.project(x[first])
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> NeighbourModel:
-    """A model from at most ``params.most`` documents of each label outside the held-out fold; null texts count as empty."""
-    known = bounded_labels(labels, "quality", params.folds, params.most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("doc_id", "text").collect()
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows]), params)
+    """A model from at most ``params.most`` documents of each label outside the held-out fold, and at most ``params.chars`` characters
+    of each; null texts count as empty, and an id on several rows once."""
+    rows = labelled_texts(docs, bounded_labels(labels, "quality", params.folds, params.most), params.chars)
+    return train([text for text, _ in rows], np.array([label for _, label in rows]), params)
 
 
 def score(docs: DataFrame, model: NeighbourModel) -> DataFrame:
@@ -151,5 +160,7 @@ def score(docs: DataFrame, model: NeighbourModel) -> DataFrame:
 
 
 def op2_neighbour_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """doc_id, held_out, score, predicted, one row per row of ``docs``. Null texts count as empty, and every text has a score; repeated rows
+    have one each; a null id is not held out, as it has no remainder, and keeps a null ``held_out``. Without labels every score is 0.5."""
     scored = score(docs, fit(docs, labels, params))
     return scored.select("doc_id", (split_of(F.col("doc_id"), params.folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

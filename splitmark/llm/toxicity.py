@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitmark.llm.common import bounded_labels, map_rows, split_of
+from splitmark.llm.common import bounded_labels, labelled_texts, map_rows, split_of
 
 #: Frequent function words of the languages that thresholds are calibrated for.
 FUNCTION_WORDS = {
@@ -42,6 +42,7 @@ NOTHING = np.float32(-1e9)
 class ToxicParams:
     folds: int = 5
     most: int = 2500  # labelled documents of each label that are learned from
+    chars: int = 50_000  # of each, from a place chosen by hash
     buckets: int = 1 << 15
     prefixes: tuple[int, ...] = (4, 5, 7)  # letters hashed beside the whole word
     free: int = 4  # trained dimensions of a row, beside the two from counts
@@ -216,7 +217,11 @@ def _counted(texts: list[str | None], labels: np.ndarray, params: ToxicParams) -
     for at in range(0, len(texts), params.batch):
         corpus = Corpus([words_of(t) for t in texts[at : at + params.batch]], params)
         hashes = np.concatenate([np.full((1, views), -1), hashes_of(corpus.words, params)])
-        for doc, ids in corpus.segments:  # a text of several segments counts once for each
+        whole: dict[int, list[np.ndarray]] = {}
+        for doc, ids in corpus.segments:
+            whole.setdefault(doc, []).append(ids)
+        for doc, parts in whole.items():
+            ids = np.concatenate(parts)
             found = hashes[ids[hashes[ids, 0] >= 0]]
             for v in range(views):
                 buckets, n = np.unique(found[:, v], return_counts=True)
@@ -327,14 +332,15 @@ def _calibrate(model: ConvModel, texts: list[str | None], labels: np.ndarray) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> ConvModel:
-    """A model from at most ``params.most`` documents of each label outside the held-out fold; null texts count as empty."""
-    known = bounded_labels(labels, "toxic", params.folds, params.most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("doc_id", "text").collect()
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), params)
+    """A model from at most ``params.most`` documents of each label outside the held-out fold, and at most ``params.chars`` characters
+    of each; null texts count as empty, and an id on several rows once."""
+    rows = labelled_texts(docs, bounded_labels(labels, "toxic", params.folds, params.most), params.chars)
+    return train([text for text, _ in rows], np.array([label for _, label in rows], dtype=np.int64), params)
 
 
 def score(docs: DataFrame, model: ConvModel) -> DataFrame:
-    """doc_id and score of every document. Null and empty texts get the score of a text without words; repeated rows one each."""
+    """doc_id and score of every document. Null and empty texts get the score of a text without words; repeated rows one each;
+    an empty table gives an empty result. Whole texts are read, a segment at a time."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -347,7 +353,8 @@ def score(docs: DataFrame, model: ConvModel) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: ConvModel) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    """The rows of ``docs`` that score below 0.5, with all their columns. Null and empty texts are judged as texts without words, each
+    repeated row by itself; an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -362,5 +369,7 @@ def clean(docs: DataFrame, model: ConvModel) -> DataFrame:
 
 
 def op4_conv_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> DataFrame:
+    """doc_id, held_out, score, predicted, one row per row of ``docs``: null texts count as empty, repeated rows have one each, a null id has a
+    null ``held_out``. With labels of one kind only, or none, all scores are that kind's (low without any)."""
     scored = score(docs, fit(docs, labels, params))
     return scored.select("doc_id", (split_of(F.col("doc_id"), params.folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,10 +11,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from splitmark.llm import chat, components, fingerprint, jaccard, langid, mixing, packing, quality, queries, secrets, topk, toxicity
+from splitmark.llm.common import labelled_texts
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -114,11 +116,28 @@ def test_neighbour_votes_are_exact(texts):
     got = model.scores(sample[40:])
     for text, score in zip(sample[40:], got, strict=True):
         v = model.project(model.counter.rows([text]))[0]
+        assert len(model.vectors) == len(set(sample[:40]))
         cosines = sorted(((float(v @ w), y) for w, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[:5]
         weights = [max(c, 1e-3) ** 4 for c, _ in cosines]
         assert abs(score - sum(w * y for w, (_, y) in zip(weights, cosines, strict=True)) / sum(weights)) < 1e-4
 
 
+def test_copies_of_a_labelled_text_are_one_neighbour_and_ties_go_to_the_first():
+    params = quality.QualityParams(rank=4, neighbours=2)
+    model = quality.train(["aa bb cc", "aa bb cc", "dd ee ff", "gg hh ii", "jj kk"], np.array([1, 0, 1, 0, 1]), params)
+    assert model.labels.tolist() == [0.5, 1.0, 0.0, 1.0]
+    model.vectors[:] = model.vectors[0]
+    assert abs(model.scores(["aa bb cc"])[0] - 0.75) < 1e-6  # all four are as near: the first two vote
+
+
+def test_an_id_on_many_rows_is_learned_from_once(spark):
+    rows = [(1, f"text {i} " + "x" * 300) for i in range(50)] + [(2, "b" * 1000), (3, None)]
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    got = labelled_texts(spark.createDataFrame(rows, "doc_id long, text string"), known, 100)
+    assert [label for _, label in got] == [1, 0, 0]
+    assert [len(text) for text, _ in got] == [100, 100, 0]
+
+
 def test_pooling_does_not_depend_on_segments(texts):
     rng = np.random.default_rng(1)
     words = [toxicity.words_of(t) for t in list(texts.values())[:20]] + [[]]
@@ -156,6 +175,33 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == known[r["doc_id"]] for r in rows]) > 0.97
 
 
+def test_language_sizes_are_those_of_plain_compression(spark, texts):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs)
+    rows = {r["doc_id"]: r for r in langid.op8_compression_langid(docs).collect()}
+    for i in list(texts)[::40]:
+        data = langid.normalised(texts[i])
+        if not data:
+            assert rows[i]["lang_pred"] == "und"
+            continue
+        sizes = {}
+        for lang, raw in model.dictionaries.items():
+            made = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = model.code[lang] + sum(len(made.compress(data[at : at + 300])) for at in range(0, len(data), 300))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[rows[i]["lang_pred"]] <= best * 1.02  # a prepared dictionary may take other matches
+        assert abs(rows[i]["score"] - (second - best) / second) < 0.02
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{w}" for w in ("ta", "ri", "mo", "su", "ke") * 6), f"l{n:02}") for i, n in enumerate(list(range(70)) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.op8_compression_langid(docs).collect()
+    assert len({r["lang_pred"] for r in found}) == 70
+    with pytest.raises(ValueError, match="more than 69"):
+        langid.fit(docs, langid.LanguageParams(languages=69))
+
+
 def test_narrow_margins_are_rejected():
     raw = {"a": b"one two three four five six seven " * 20, "b": b"uno dos tres cuatro cinco seis " * 20}
     model = langid.CompressionModel(raw, dict.fromkeys(raw, 0.0), langid.LanguageParams())
@@ -445,6 +491,25 @@ def test_rates_are_those_of_plain_least_squares(spark):
     assert np.allclose((p * (n * got)[:, None]).sum(0), target, rtol=1e-2)
 
 
+def test_every_domain_is_learned(spark):
+    rows = [(i, f"word{n} thing{n} " * 20, f"d{n:02}") for i, n in enumerate(list(range(20)) * 4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    found = mixing.mix(table.drop("domain"), table.select("doc_id", "domain")).collect()
+    assert {r["domain"] for r in found} == {f"d{n:02}" for n in range(20)}
+    assert all(r["target_error"] < 0.05 for r in found)
+    with pytest.raises(ValueError, match="more than 19"):
+        mixing.fit_domains(table, table.select("doc_id", "domain"), mixing.MixParams(domains=19))
+
+
+def test_targets_of_the_query_are_met(spark):
+    rows = queries.QUERIES["op9_soft_mixing"](spark, SMALL).collect()
+    totals = sum(np.array(r["posterior"]) * r["tokens"] * r["rate"] for r in rows)
+    natural = sum(np.array(r["posterior"]) * r["tokens"] for r in rows)
+    wanted = np.array([0.9, 0.06, 0.03, 0.01]) * natural.sum()
+    assert np.allclose(np.sort(totals), np.sort(wanted), rtol=0.02)
+    assert abs(rows[0]["target_error"] - np.max(np.abs(np.sort(totals) - np.sort(wanted)) / natural[np.argsort(totals)])) < 1e-3
+
+
 def test_a_floor_keeps_every_document(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     kept = mixing.mixed(docs, mixing.domain_labels(labels), mixing.MixParams(boosts={"q1t0": 1.2}, floor=1.0))
@@ -512,3 +577,68 @@ def test_base_spans():
     text = "token=" + "ab" * 20
     assert found(text) == [(0, 46, "assign"), (6, 46, "hex")]
     assert secrets.masked(f"a {text} b", secrets.spans_of(f"a {text} b")) == "a [assign removed] b"
+
+
+def test_scan_of_the_whole_table_against_plain_loops(spark, texts):
+    """The base spans by walking through each text letter by letter, without the patterns."""
+    plain = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    lowered = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def run(text, at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assigned(text, low, at):
+        for name in names:
+            if low.startswith(name, at):
+                for quoted in (True, False):
+                    p = at + len(name)
+                    if quoted:
+                        if text[p : p + 1] not in ("'", '"') or not text[p : p + 1]:
+                            continue
+                        p += 1
+                    p = run(text, p, " ")
+                    if text[p : p + 1] not in (":", "=") or not text[p : p + 1]:
+                        continue
+                    p = run(text, p + 1, " ")
+                    if text[p : p + 1] in ("'", '"') and text[p : p + 1]:
+                        p += 1
+                    if (end := run(text, p, plain)) > p:
+                        return p, end
+        return None
+
+    def spans(text):
+        low, out, at = text.translate(lowered), [], 0
+        while at < len(text):
+            if got := assigned(text, low, at):
+                if got[1] - got[0] >= 8:
+                    out.append((at, 0, "assign", got[1]))
+                at = got[1]
+            else:
+                at += 1
+        at = 0
+        while (at := text.find("AKIA", at)) >= 0:
+            end = run(text, at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+            if end > at + 4 and end - at >= 16:
+                out.append((at, 1, "access", end))
+            at = max(end, at + 4)
+        at = 0
+        while at < len(text):
+            end = run(text, at, set("0123456789abcdef"))
+            if end - at >= 32:
+                out.append((at, 2, "hex", end))
+            at = max(end, at + 1)
+        return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op10_secret_scan"](spark, SMALL).collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        base = spans(text or "")
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(b[0] == k for b in base) for k in ("assign", "access", "hex")]
+        listed = [tuple(x.split(":")) for x in rows[i]["spans"].split(",") if x]
+        assert [x for x in listed if x[0] in ("assign", "access", "hex")] == [(k, str(a), str(b)) for k, a, b in base]
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in rows.values()) > 5

@@ -65,3 +65,10 @@ def test_packing_holds_every_document(steps):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in steps[4].select("doc_id").collect()}
     assert max(r["offset"] + r["length"] for r in rows) <= 4096
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_the_whole_run_gives_the_last_stage(spark, steps):
+    rows = lambda df: sorted(map(str, df.drop("sequence_id", "offset").collect()))
+    made = corpus_pipeline.run(spark, SMALL)
+    assert made.columns == steps[5].columns
+    assert rows(made) == rows(steps[5])
