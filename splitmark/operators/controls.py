@@ -30,7 +30,7 @@ def control_sites(observed: DataFrame, params: ControlParams = ControlParams())
 
 
 def combine(*tables: DataFrame) -> DataFrame:
-    """Control tables merged by site; counts add up, the first known reference stays."""
+    """Control tables merged by site; counts add up, of several references the largest in order of letters stays."""
     merged = tables[0]
     for table in tables[1:]:
         merged = merged.unionByName(table, allowMissingColumns=True)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitmark import schema
@@ -50,31 +48,26 @@ def support_table(near: DataFrame) -> DataFrame:
     return typed.groupBy("id").pivot("support", list(SUPPORT_TYPES)).count().fillna(0)
 
 
-def two_means(sizes: np.ndarray) -> tuple[float, float]:
-    """(sd_ratio, mean_shift) of the best split of sorted sizes in two, each part with four or more; (1, 0) for fewer than ten sizes.
+def insert_size_clusters(near: DataFrame, least: int = 4, fewest: int = 10) -> DataFrame:
+    """(id, n_sizes, sd_ratio, mean_shift) over the positive insert sizes of reads near each site.
 
-    The ratio compares the spread within the parts with the whole spread, turned over where it exceeds 1.
+    The sizes are split in two where the squares within the parts add up to the least, equal sizes staying together. ``sd_ratio`` compares
+    the spread of the parts with the whole spread, turned over where it exceeds 1. With fewer than ``fewest`` sizes, or where a part of the
+    best split has fewer than ``least``, it is 1 and the shift 0. Sizes are counted first, so a window holds distinct sizes, not reads.
     """
-    x = np.sort(sizes.astype(np.float64))
-    n = len(x)
-    if n < 10:
-        return 1.0, 0.0
-    k = np.arange(4, n - 3)
-    sums, squares = np.cumsum(x), np.cumsum(x * x)
-    left, right = sums[k - 1], sums[-1] - sums[k - 1]
-    within = (squares[k - 1] - left**2 / k) + (squares[-1] - squares[k - 1] - right**2 / (n - k))
-    at = int(k[np.argmin(within)])
-    v0, v1, sd = x[:at].var(ddof=1), x[at:].var(ddof=1), x.std(ddof=1)
-    ratio = float(np.sqrt(v0 + v1 + 1) / (sd + 1))
-    return min(ratio, 1 / ratio), float(x[at:].mean() - x[:at].mean())
-
-
-def insert_size_clusters(near: DataFrame) -> DataFrame:
-    """(id, n_sizes, sd_ratio, mean_shift) over the positive insert sizes of reads near each site."""
-    sizes = near.where("insert_size_b > 0").select(F.col("id_a").alias("id"), F.col("insert_size_b").cast("double").alias("size"))
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        ratio, shift = two_means(rows["size"].to_numpy())
-        return pd.DataFrame({"id": [rows["id"].iloc[0]], "n_sizes": [len(rows)], "sd_ratio": [round(ratio, 9)], "mean_shift": [round(shift, 9)]})
-
-    return sizes.groupBy("id").applyInPandas(split, "id bigint, n_sizes bigint, sd_ratio double, mean_shift double")
+    counts = near.where("insert_size_b > 0").groupBy(F.col("id_a").alias("id"), F.col("insert_size_b").cast("bigint").alias("size")).agg(F.count("*").alias("c"))
+    up = Window.partitionBy("id").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy("id")
+    sums = {"n": F.col("c"), "s": F.col("c") * F.col("size"), "q": F.col("c") * F.col("size") * F.col("size")}
+    run = counts.select("id", *[F.sum(v).over(up).alias(k) for k, v in sums.items()], *[F.sum(v).over(all_).alias(f"{k}_all") for k, v in sums.items()])
+    squares = lambda q, s, n: F.when(n > 0, q - s.cast("double") * s / n).otherwise(0.0)
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    m, t, r = F.col("n_all") - n, F.col("s_all") - s, F.col("q_all") - q
+    parts = run.select("id", "n", "s", "n_all", "s_all", squares(q, s, n).alias("left"), squares(r, t, m).alias("right"), squares(F.col("q_all"), F.col("s_all"), F.col("n_all")).alias("whole"))
+    best = parts.groupBy("id").agg(F.min(F.struct((F.col("n") == F.col("n_all")).alias("last"), (F.col("left") + F.col("right")).alias("within"), *[c for c in parts.columns if c != "id"])).alias("b")).select("id", "b.*")
+    rest = F.col("n_all") - F.col("n")
+    split = (F.col("n_all") >= fewest) & (F.least("n", rest) >= least)
+    spread = F.sqrt(F.col("left") / (F.col("n") - 1) + F.col("right") / (rest - 1) + 1) / (F.sqrt(F.col("whole") / (F.col("n_all") - 1)) + 1)
+    ratio = F.when(split, F.least(spread, 1 / spread)).otherwise(1.0)
+    shift = F.when(split, F.abs((F.col("s_all") - F.col("s")) / rest - F.col("s") / F.col("n"))).otherwise(0.0)
+    return best.select("id", F.col("n_all").alias("n_sizes"), F.round(ratio, 6).alias("sd_ratio"), F.round(shift, 6).alias("mean_shift"))

@@ -165,7 +165,7 @@ def observations(reads: DataFrame) -> DataFrame:
 def site_counts(reads: DataFrame) -> DataFrame:
     """As :func:`observations` without the lists: every aggregate has a fixed size."""
     return reads.groupBy("sample", "chr", "chr_idx", "bp_pos").agg(
-        F.count("*").alias("obs"), F.max("mapq").alias("max_mapq"), F.count_if(F.col("mapq") >= 2).alias("mapped"), F.count_distinct("mate_chr_idx").alias("mate_chrs")
+        F.count("*").alias("obs"), F.count_if(F.col("side") == "start").alias("start_clips"), F.max("mapq").alias("max_mapq"), F.count_if(F.col("mapq") >= 2).alias("mapped"), F.count_distinct("mate_chr_idx").alias("mate_chrs")
     )
 
 
@@ -193,16 +193,22 @@ def consensus(reads: DataFrame, n: int = 15) -> DataFrame:
     return built.select("sample", "chr", "bp_pos", F.array_join(F.transform("c", lambda c: c["base"]), "").alias("bases"), F.round(score, 9).alias("score"), "depth")
 
 
+def quality_letters(quals: Column) -> Column:
+    """Qualities as text, a letter each, counted from ``!``."""
+    return F.array_join(F.transform(quals, lambda q: F.char(q + 33)), "")
+
+
 def unmapped_pairs(reads: DataFrame, cutoff: int = 20, most: int = 4) -> DataFrame:
-    """Pairs with at least one unmapped mate whose two reads both have ``most`` bases below ``cutoff`` at most.
+    """Pairs with at least one unmapped mate whose two reads both have ``most`` bases below ``cutoff`` at most: bases and qualities (the
+    letters of a FASTQ file) of both.
 
-    Mates meet by name; the second read is given reverse-complemented, as it was sequenced.
+    Mates meet by name; the second read is given reverse-complemented, as it was sequenced, and its qualities are turned with it.
     """
     good = reads.withColumn("low", low_quality_count(cutoff))
-    side = lambda bit, n: good.where(schema.flag(bit)).select("sample", "read_name", F.col("bases").alias(f"bases_{n}"), F.col("low").alias(f"low_{n}"), "flags")
+    side = lambda bit, n: good.where(schema.flag(bit)).select("sample", "read_name", F.col("bases").alias(f"bases_{n}"), quality_letters(F.col("quals")).alias(f"quals_{n}"), F.col("low").alias(f"low_{n}"), "flags")
     one, two = side(schema.FIRST, 1), side(schema.SECOND, 2).withColumnRenamed("flags", "flags_2")
     lost = (schema.flag(schema.UNMAPPED | schema.MATE_UNMAPPED)) | (schema.flag(schema.UNMAPPED | schema.MATE_UNMAPPED, "flags_2"))
-    return one.join(two, ["sample", "read_name"]).where(lost & (F.col("low_1") <= most) & (F.col("low_2") <= most)).select("sample", "read_name", "bases_1", G.reverse_complement(F.col("bases_2")).alias("bases_2"))
+    return one.join(two, ["sample", "read_name"]).where(lost & (F.col("low_1") <= most) & (F.col("low_2") <= most)).select("sample", "read_name", "bases_1", "quals_1", G.reverse_complement(F.col("bases_2")).alias("bases_2"), F.reverse("quals_2").alias("quals_2"))
 
 
 def fragments(reads: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def histogram(values: DataFrame, column: str, bins: int = 100) -> DataFrame:
 
 def per_megabase(counts: DataFrame, lengths: DataFrame) -> DataFrame:
     """(chr, n, per_mb) of counts by contig and contig lengths."""
-    return counts.join(F.broadcast(lengths), "chr").select("chr", "n", F.round(F.col("n") * 1e6 / F.col("length"), 6).alias("per_mb"))
+    return counts.join(lengths, "chr").select("chr", "n", F.round(F.col("n") * 1e6 / F.col("length"), 6).alias("per_mb"))
 
 
 def zipped(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:

@@ -57,9 +57,10 @@ places AS (
 windows AS (
   SELECT sample, chr, pos, CAST(sum(n) OVER w AS BIGINT) AS reads, CAST(sum(clipped) OVER w AS BIGINT) AS clipped_positions, sum(n) OVER w > 200 OR sum(clipped) OVER w > 10 AS noisy
   FROM places WINDOW w AS (PARTITION BY sample, chr ORDER BY pos RANGE BETWEEN 247 PRECEDING AND 249 FOLLOWING))"""
-_QUIET = f"""{_WINDOWS}, quiet AS (
+_QUIET = f"""{_WINDOWS}, calm AS (
   SELECT p.* FROM placed p WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.noisy AND w.sample = p.sample AND w.chr = p.chr AND w.pos = p.aln_start)
-    AND NOT EXISTS (SELECT 1 FROM windows w WHERE w.noisy AND w.sample = p.sample AND w.chr = p.chr AND w.pos = p.bp_pos))"""
+    AND NOT EXISTS (SELECT 1 FROM windows w WHERE w.noisy AND w.sample = p.sample AND w.chr = p.chr AND w.pos = p.bp_pos)),
+  quiet AS (SELECT * FROM calm QUALIFY row_number() OVER (PARTITION BY sample, chr, bp_pos, aln_start - {_LEAD}, aln_end + {_TAIL} ORDER BY file_ord, read_name) = 1)"""
 _SITES = f"""{_QUIET}, observed AS (
   SELECT sample, chr, chr_idx, bp_pos, CAST(chr_idx AS BIGINT) * 1000000000 + bp_pos AS bp_id, count(*) AS obs, count(*) FILTER (side = 'start') AS start_clips, count(*) FILTER (side = 'end') AS end_clips, max(mapq) AS max_mapq,
     count(*) FILTER (mapq >= 2) AS mapped, count(DISTINCT mate_chr_idx) AS mate_chrs FROM quiet GROUP BY sample, chr, chr_idx, bp_pos),
@@ -88,8 +89,9 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quiet(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Reads behind the noise gate, without duplicates."""
     kept = _kept(spark, sf_dir, *more)
-    return reads.quiet(reads.positions(kept), reads.noise_windows(kept))
+    return reads.without_duplicates(reads.quiet(reads.positions(kept), reads.noise_windows(kept)))
 
 
 def _site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +144,8 @@ def fragment_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.fragments(rows.withColumn("sample", F.col("read_name"))).select(F.col("sample").alias("read_name"), "chr", "start", "stop")
 
 
-_PAIRS = f"""WITH {READS_ORACLE}, named AS (SELECT sample, concat(sample, '_', CAST(file_ord // 16 AS STRING)) AS pair, flags, bases, {_LOW.format(20)} AS low FROM reads)
-    SELECT a.sample, a.pair AS read_name, a.bases AS bases_1, reverse(translate(b.bases, 'ACGTN', 'TGCAN')) AS bases_2 FROM named a JOIN named b ON a.sample = b.sample AND a.pair = b.pair
+_PAIRS = f"""WITH {READS_ORACLE}, named AS (SELECT sample, concat(sample, '_', CAST(file_ord // 16 AS STRING)) AS pair, flags, bases, array_to_string(list_transform(quals, lambda x: chr(x + 33)), '') AS letters, {_LOW.format(20)} AS low FROM reads)
+    SELECT a.sample, a.pair AS read_name, a.bases AS bases_1, a.letters AS quals_1, reverse(translate(b.bases, 'ACGTN', 'TGCAN')) AS bases_2, reverse(b.letters) AS quals_2 FROM named a JOIN named b ON a.sample = b.sample AND a.pair = b.pair
     WHERE (a.flags & 64) <> 0 AND (b.flags & 128) <> 0 AND ((a.flags & 12) <> 0 OR (b.flags & 12) <> 0) AND a.low <= 4 AND b.low <= 4"""
 
 
@@ -153,6 +155,14 @@ def unmapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.unmapped_pairs(named)
 
 
+@query("fastq_records", f"""WITH pairs AS ({_PAIRS}) SELECT read_name, 1 AS mate, concat('@', read_name, ' /1', chr(10), bases_1, chr(10), '+', chr(10), quals_1) AS value FROM pairs
+    UNION ALL SELECT read_name, 2, concat('@', read_name, ' /2', chr(10), bases_2, chr(10), '+', chr(10), quals_2) FROM pairs""")
+def fastq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = unmapped_pairs(spark, sf_dir)
+    both = [sinks.fastq_rows(pairs, mate).select("read_name", F.lit(mate).alias("mate"), "value") for mate in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
 @query("soft_clip_positions", f"{_PLACED} SELECT sample, chr, bp_pos, side, count(*) AS n, min(file_ord) AS first_ord FROM placed GROUP BY 1, 2, 3, 4")
 def soft_clip_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, sf_dir).groupBy("sample", "chr", "bp_pos", "side").agg(F.count("*").alias("n"), F.min("file_ord").alias("first_ord"))
@@ -351,14 +361,14 @@ def base_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOMO = "(CASE WHEN length({0}) > 0 THEN list_max(list_transform(['A', 'C', 'G', 'T', 'N'], lambda b: length({0}) - length(replace(upper({0}), b, '')))) / length({0}) ELSE 0 END > 0.8 OR (length({1}) = 5 AND replace({1}, left({1}, 1), '') = ''))"
 _FLANKS = f"""{_SITES.replace("WITH ", "WITH " + REFERENCE_SQL + ", ", 1)}, genome AS (SELECT chr, string_agg(bases, '' ORDER BY bin) AS g FROM ref_seq GROUP BY chr),
-    site AS (SELECT bp_id AS id, chr, bp_pos AS pos, CAST(sum(start_clips) AS BIGINT) AS start_clips FROM observed WHERE bp_pos BETWEEN 20 AND 39900 GROUP BY 1, 2, 3),
+    site AS (SELECT bp_id AS id, chr, bp_pos AS pos, CAST(sum(start_clips) AS BIGINT) AS start_clips FROM observed GROUP BY 1, 2, 3),
     flank AS (SELECT id, chr, pos, start_clips, substr(g, pos - 14, 15) AS before, substr(g, pos + 1, 15) AS after FROM site JOIN genome USING (chr)),
     sided AS (SELECT *, CASE WHEN start_clips > 0 THEN before ELSE after END AS opposing, CASE WHEN start_clips > 0 THEN after ELSE before END AS same_side FROM flank)"""
 
 
 def _flanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads.observations(_quiet(spark, sf_dir)).groupBy(F.col("bp_id").alias("id"), "chr", F.col("bp_pos").alias("pos")).agg(F.sum("start_clips").alias("start_clips"))
-    return novel.oriented(novel.flanks(rows.where("pos between 20 and 39900"), projection.reference(spark, sf_dir)))
+    return novel.oriented(novel.flanks(rows, projection.reference(spark, sf_dir)))
 
 
 @query("reference_flanks", f"{_FLANKS} SELECT id, opposing, same_side FROM sided")
@@ -488,13 +498,13 @@ def vcf_band_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.annotate(projection.relation(spark, sf_dir, (_VARIANTS,), "variants"), _controls(spark, sf_dir))
 
 
-_NEAR = f"""{_SITES}, site AS (SELECT id, chr, pos FROM controls WHERE sample_count <= 11), near AS (
+_NEAR = f"""{_SITES}, site AS (SELECT id, chr, pos FROM controls), near AS (
     SELECT s.id, s.pos, r.*, CASE WHEN ({_LEAD} > 0 AND abs(aln_start - s.pos) <= 5) OR ({_TAIL} > 0 AND abs(aln_end - s.pos) <= 5) THEN 'SUPPORT' WHEN aln_start < s.pos AND aln_end > s.pos THEN 'CONTRA' ELSE 'NO_OVERLAP' END AS support
     FROM site s JOIN reads r ON r.chr = s.chr AND r.aln_start <= s.pos + 200 AND r.aln_end >= s.pos - 200)"""
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = _controls(spark, sf_dir).where("sample_count <= 11").select("id", "chr", "pos")
+    sites = _controls(spark, sf_dir).select("id", "chr", "pos")
     return intervals.around(sites, projection.reads(spark, sf_dir).drop("quals", "bases"), 200)
 
 
@@ -513,7 +523,14 @@ def support_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.support_table(_near(spark, sf_dir))
 
 
-@query("insert_size_clusters")
+@query("insert_size_clusters", f"""{_NEAR}, c AS (SELECT id, CAST(insert_size AS BIGINT) AS size, count(*) AS c FROM near WHERE insert_size > 0 GROUP BY 1, 2),
+    r AS (SELECT id, sum(c) OVER up AS n, sum(c * size) OVER up AS s, sum(c * size * size) OVER up AS q, sum(c) OVER a AS n_all, sum(c * size) OVER a AS s_all, sum(c * size * size) OVER a AS q_all
+      FROM c WINDOW up AS (PARTITION BY id ORDER BY size ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY id)),
+    p AS (SELECT *, CAST(q AS DOUBLE) - CAST(s AS DOUBLE) * s / n AS l, CASE WHEN n < n_all THEN CAST(q_all - q AS DOUBLE) - CAST(s_all - s AS DOUBLE) * (s_all - s) / (n_all - n) ELSE 0 END AS rt, CAST(q_all AS DOUBLE) - CAST(s_all AS DOUBLE) * s_all / n_all AS whole FROM r),
+    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY n = n_all, l + rt, n) = 1),
+    v AS (SELECT *, n_all >= 10 AND least(n, n_all - n) >= 4 AS split FROM b),
+    x AS (SELECT *, CASE WHEN split THEN sqrt(l / (n - 1) + rt / (n_all - n - 1) + 1) / (sqrt(whole / (n_all - 1)) + 1) ELSE 1 END AS spread FROM v)
+    SELECT id, CAST(n_all AS BIGINT) AS n_sizes, round(least(spread, 1 / spread), 6) AS sd_ratio, CASE WHEN split THEN round(abs((s_all - s) / (n_all - n) - s / n), 6) ELSE 0.0 END AS mean_shift FROM x""")
 def insert_size_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.insert_size_clusters(_near(spark, sf_dir))
 

@@ -37,17 +37,23 @@ def gene_json(exons: DataFrame) -> DataFrame:
 
 
 def write_controls(sites: DataFrame, observed: DataFrame, samples: DataFrame, path: str) -> None:
-    """A control database: sites and observations by contig, sorted by place, and the samples."""
-    sites.repartition("chr").sortWithinPartitions("id").write.mode("overwrite").partitionBy("chr").parquet(f"{path}/breakpoint")
-    observed.repartition("chr").sortWithinPartitions("bp_id").write.mode("overwrite").partitionBy("chr").parquet(f"{path}/breakpoint_observation")
+    """A control database: sites and observations by contig, sorted by place, and the samples. A contig is cut into as many ranges of
+    places as its rows ask for, so the largest isn't one task's."""
+    sites.repartitionByRange("chr", "id").sortWithinPartitions("chr", "id").write.mode("overwrite").partitionBy("chr").parquet(f"{path}/breakpoint")
+    observed.repartitionByRange("chr", "bp_id").sortWithinPartitions("chr", "bp_id").write.mode("overwrite").partitionBy("chr").parquet(f"{path}/breakpoint_observation")
     samples.write.mode("append").parquet(f"{path}/sample")
 
 
+def fastq_rows(pairs: DataFrame, mate: int) -> DataFrame:
+    """(read_name, value): the four lines of one read of each pair, from ``reads.unmapped_pairs``."""
+    lines = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_name"), F.lit(f" /{mate}")), f"bases_{mate}", F.lit("+"), f"quals_{mate}")
+    return pairs.select("read_name", lines.alias("value"))
+
+
 def write_fastq(pairs: DataFrame, path: str) -> None:
-    """Two folders of gzipped FASTQ, mates in the same order."""
-    for n in (1, 2):
-        record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_name"), F.lit(f"/{n}")), f"bases_{n}", F.lit("+"), F.repeat(F.lit("I"), F.char_length(f"bases_{n}")))
-        pairs.sortWithinPartitions("read_name").select(record.alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}/r{n}")
+    """Two folders of gzipped FASTQ, mates in the same order: pairs are dealt and sorted by name alike for both."""
+    for mate in (1, 2):
+        fastq_rows(pairs, mate).repartitionByRange("read_name").sortWithinPartitions("read_name").select("value").write.mode("overwrite").option("compression", "gzip").text(f"{path}/r{mate}")
 
 
 def vcf_lines(variants: DataFrame, annotated: DataFrame) -> DataFrame:
@@ -58,5 +64,5 @@ def vcf_lines(variants: DataFrame, annotated: DataFrame) -> DataFrame:
 
 
 def write_reads(reads: DataFrame, path: str) -> None:
-    """Reads by contig, sorted by start, so that a region scan skips most row groups."""
-    reads.repartition("chr").sortWithinPartitions("aln_start").write.mode("overwrite").partitionBy("chr").parquet(path)
+    """Reads by contig and ranges of starts, sorted, so that a region scan skips most files and row groups."""
+    reads.repartitionByRange("chr", "aln_start").sortWithinPartitions("chr", "aln_start").write.mode("overwrite").partitionBy("chr").parquet(path)

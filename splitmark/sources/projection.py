@@ -16,22 +16,23 @@ p_line AS (
   FROM lineitem),
 p_hash AS (
   SELECT *, md5(concat_ws('|', CAST(ok AS STRING), CAST(pk AS STRING), CAST(sk AS STRING), CAST(ln AS STRING), CAST(q AS STRING))) h,
-    CASE WHEN q <= 28 THEN 10000 + q * 16 ELSE 20000 + q * 100 END + CASE WHEN sk % 50 = (ln * 7 + q) % 50 THEN 5 ELSE 0 END pos
+    CASE WHEN q <= 28 THEN 10000 + q * 16 ELSE 20000 + q * 100 END + CASE WHEN sk % 50 = (ln * 7 + q) % 50 THEN 5 ELSE 0 END pos,
+    CASE WHEN pk % 23 = 0 OR pk % 19 = 0 OR pk % 29 = 0 THEN 20 ELSE 16 + (ok * 7 + pk * 3) % 15 END clip
   FROM p_line),
 p_cigar AS (
   SELECT *,
-    CASE WHEN pk % 23 = 0 THEN '80M' WHEN pk % 19 = 0 THEN '10S70M' WHEN pk % 29 = 0 THEN '25S20M35S' WHEN q % 2 = 0 THEN '20S60M' ELSE '60M20S' END cigar,
+    CASE WHEN pk % 23 = 0 THEN '80M' WHEN pk % 19 = 0 THEN '10S70M' WHEN pk % 29 = 0 THEN '25S20M35S' WHEN q % 2 = 0 THEN concat(CAST(clip AS STRING), 'S', CAST(80 - clip AS STRING), 'M') ELSE concat(CAST(80 - clip AS STRING), 'M', CAST(clip AS STRING), 'S') END cigar,
     CASE WHEN pk % 31 = 0 THEN 25 ELSE ok % 10 END low_quals,
     CASE WHEN ok % 11 = 0 THEN 1 + pk % 7 ELSE ln END mate_ln,
     CASE WHEN pk % 37 = 0 THEN pos + 500000 WHEN pk % 7 = 3 AND ok % 3 = 0 THEN pos + 3 ELSE pos + 300 + ok % 50 END mate_pos,
-    substr(translate(md5(concat('c', CAST(ln AS STRING), '_', CAST(CASE WHEN q % 2 = 0 THEN q - 1 ELSE q + 1 END AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 20) clip_bases,
+    substr(translate(md5(concat('c', CAST(ln AS STRING), '_', CAST(CASE WHEN q % 2 = 0 THEN q - 1 ELSE q + 1 END AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 30) clip_bases,
     concat(translate(h, '0123456789abcdef', 'ACGTACGTACGTACGT'), translate(md5(h), '0123456789abcdef', 'ACGTACGTACGTACGT')) other_bases
   FROM p_hash),
 p_place AS (
   SELECT *,
-    CASE WHEN cigar = '60M20S' THEN pos - 59 ELSE pos END aln_start,
-    CASE WHEN cigar = '60M20S' THEN pos WHEN cigar = '80M' THEN pos + 79 WHEN cigar = '10S70M' THEN pos + 69 WHEN cigar = '25S20M35S' THEN pos + 19 ELSE pos + 59 END aln_end,
-    CASE WHEN pk % 53 = 0 THEN concat(substr(other_bases, 1, 10), 'AGATC', substr(other_bases, 16, 45)) ELSE substr(other_bases, 1, 60) END body
+    CASE WHEN cigar LIKE '%S' AND cigar <> '25S20M35S' THEN pos - 79 + clip ELSE pos END aln_start,
+    CASE WHEN cigar = '80M' THEN pos + 79 WHEN cigar = '10S70M' THEN pos + 69 WHEN cigar = '25S20M35S' THEN pos + 19 WHEN cigar LIKE '%S' THEN pos ELSE pos + 79 - clip END aln_end,
+    CASE WHEN pk % 53 = 0 THEN concat(substr(other_bases, 1, 10), 'AGATC', substr(other_bases, 16, CAST(65 - clip AS INT))) ELSE substr(other_bases, 1, CAST(80 - clip AS INT)) END body
   FROM p_cigar),
 reads AS (
   SELECT concat('S', CAST(sk % 50 AS STRING)) AS sample, h AS read_name, ok * 8 + ln AS file_ord,
@@ -39,7 +40,7 @@ reads AS (
       + CASE WHEN ln % 2 = 0 THEN 64 ELSE 128 END + CASE WHEN pk % 43 = 0 THEN 256 ELSE 0 END + CASE WHEN pk % 47 = 0 THEN 2048 ELSE 0 END AS INT) AS flags,
     CAST(ln AS STRING) AS chr, CAST(ln AS INT) AS chr_idx, CAST(aln_start AS INT) AS aln_start, CAST(aln_end AS INT) AS aln_end,
     CAST(CASE WHEN pk % 17 = 0 THEN 0 WHEN pk % 13 = 0 THEN 1 ELSE 20 + ok % 41 END AS INT) AS mapq, cigar,
-    CASE WHEN cigar LIKE '60M%' THEN concat(body, clip_bases) ELSE concat(clip_bases, body) END AS bases,
+    CASE WHEN cigar LIKE '%S' AND cigar <> '25S20M35S' THEN concat(body, substr(clip_bases, 1, CAST(clip AS INT))) ELSE concat(substr(clip_bases, CAST(31 - clip AS INT), CAST(clip AS INT)), body) END AS bases,
     CAST(low_quals AS INT) AS low_quals, CAST(ok % 5 AS INT) AS qual_step,
     CAST(mate_ln AS STRING) AS mate_chr, CAST(mate_ln AS INT) AS mate_chr_idx, CAST(mate_pos AS INT) AS mate_start,
     CAST(CASE WHEN mate_ln = ln THEN mate_pos - aln_start + 80 + CASE WHEN ok % 4 = 0 THEN 400 + pk % 90 ELSE 0 END ELSE 0 END AS INT) AS insert_size

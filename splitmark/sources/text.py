@@ -16,16 +16,18 @@ def _contig(names: F.Column) -> F.Column:
 def sam(spark: SparkSession, path: str, sample: str | None = None, multi: bool = False) -> DataFrame:
     """Reads of SAM text. The sample is the header's; several samples are refused unless ``multi``, which takes each read group's."""
     lines = spark.read.text(path).withColumn("file_ord", F.monotonically_increasing_id())
-    groups = [r[0] for r in lines.where(F.col("value").startswith("@RG")).select("value").limit(10_000).collect()]
-    named = {dict(f.split(":", 1) for f in g.split("\t")[1:] if ":" in f).get("ID", ""): dict(f.split(":", 1) for f in g.split("\t")[1:] if ":" in f).get("SM", "") for g in groups}
-    samples = sorted({s for s in named.values() if s})
+    field = lambda name: F.regexp_extract("value", rf"\t{name}:([^\t]*)", 1)
+    named = lines.where(F.col("value").startswith("@RG")).select(field("ID").alias("group"), field("SM").alias("named")).groupBy("group").agg(F.max("named").alias("named"))
+    samples = [r[0] for r in named.where("named <> ''").select("named").distinct().orderBy("named").limit(3).collect()]
     if len(samples) > 1 and not multi and sample is None:
-        raise ValueError(f"several samples: {', '.join(samples)}")
+        raise ValueError(f"several samples: {', '.join(samples[:2])}{', ...' if len(samples) > 2 else ''}")
     f = F.split("value", "\t")
     get = lambda i: F.get(f, F.lit(i))
     group = F.regexp_extract("value", r"\tRG:Z:([^\t]+)", 1)
-    own = F.lit(sample) if sample else F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[group] if multi and named else F.lit(samples[0] if samples else "unknown")
     rows = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    own = F.lit(sample if sample else samples[0] if samples else "unknown")
+    if multi and samples and not sample:
+        rows, own = rows.withColumn("group", group).join(named, "group", "left"), F.col("named")
     ops = G.cigar_ops(get(5))
     spanned = F.aggregate(ops, F.lit(0), lambda s, o: s + F.when(o["op"].isin("M", "D", "N", "=", "X"), o["len"]).otherwise(0))
     start, mate = get(3).cast("int"), F.when(get(6) == "=", get(2)).otherwise(get(6))

@@ -157,13 +157,33 @@ def test_deletion_keys_hold_all_within_two_edits(spark):
     assert keys == wanted
 
 
-def test_best_split_is_the_best_of_all():
+def sizes_near(spark, groups):
+    return spark.createDataFrame([(i, int(x)) for i, sizes in groups.items() for x in sizes], "id_a long, insert_size_b int")
+
+
+def test_insert_sizes_split_at_the_best_place_of_all(spark):
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(300, 10, 20), rng.normal(1500, 20, 9)])
-    ratio, shift = features.two_means(x)
-    assert 1100 < shift < 1300
-    assert ratio < 0.1
-    assert features.two_means(x[:9]) == (1.0, 0.0)
+    groups = {i: np.concatenate([rng.normal(300, 40, rng.integers(4, 20)), rng.normal(rng.integers(300, 2000), 60, rng.integers(4, 20))]).round() for i in range(12)}
+    groups |= {20: groups[0][:9], 21: [300] * 30 + [900] * 2, 22: [250] * 15, 23: [-5, 0] + [100] * 8 + [500] * 8}
+    rows = {r["id"]: r for r in features.insert_size_clusters(sizes_near(spark, groups)).collect()}
+    for i, sizes in groups.items():
+        x = np.sort(np.array([v for v in sizes if v > 0], dtype=np.float64))
+        wanted = (1.0, 0.0)
+        if len(x) >= 10:
+            k = min(range(1, len(x)), key=lambda k: (x[:k].var() * k + x[k:].var() * (len(x) - k)).round(6))
+            if min(k, len(x) - k) >= 4:
+                ratio = np.sqrt(x[:k].var(ddof=1) + x[k:].var(ddof=1) + 1) / (x.std(ddof=1) + 1)
+                wanted = (min(ratio, 1 / ratio), x[k:].mean() - x[:k].mean())
+        assert np.allclose((rows[i]["sd_ratio"], rows[i]["mean_shift"]), wanted, atol=1e-5), i
+    assert (rows[21]["sd_ratio"], rows[21]["mean_shift"]) == (1.0, 0.0)  # two outliers make no cluster
+
+
+def test_pairs_carry_their_qualities(spark):
+    table = read_table(spark, {"flags": 1 + 64 + 8, "quals": [30] * 79 + [20]}, {"flags": 1 + 128 + 4, "bases": "A" * 79 + "C", "quals": [21] + [30] * 79})
+    row = reads.unmapped_pairs(table).first()
+    assert row["quals_1"] == "?" * 79 + "5"
+    assert row["quals_2"] == "?" * 79 + "6"
+    assert row["bases_2"] == "G" + "T" * 79
 
 
 def test_report_filter(spark):

@@ -79,9 +79,9 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.json_rows(rows).first()["json"])["cdsdist"] == [0, -1]
     sinks.write_bed(sinks.bed_rows(rows), str(tmp_path / "bed"))
     assert text.tsv(spark, str(tmp_path / "bed"), header=False).first()["_c1"] == "-95"
-    pairs = spark.createDataFrame([("p", "ACG", "TTT")], "read_name string, bases_1 string, bases_2 string")
+    pairs = spark.createDataFrame([("p", "ACG", "IIH", "TTT", "!+I")], "read_name string, bases_1 string, quals_1 string, bases_2 string, quals_2 string")
     sinks.write_fastq(pairs, str(tmp_path / "fq"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "fq/r2")).collect()] == ["@p/2", "TTT", "+", "III"]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "fq/r2")).collect()] == ["@p /2", "TTT", "+", "!+I"]
 
 
 def test_control_tables_come_back_with_their_number(spark, tmp_path):

@@ -1,12 +1,10 @@
 """Queries read every row of their tables; each case is computed without the query's own SQL."""
 
-import random
 from collections import Counter, defaultdict
 
 import duckdb
 from pyspark.sql import functions as F
 
-from splitmark.llm import fingerprint
 from splitmark.plans.registry import QUERIES
 from splitmark.sources import projection
 
@@ -34,12 +32,3 @@ def test_mates_of_all_reads_extend_regions(spark, sf_dir):
             if depth > 2 and not any(start <= b and after - 1 >= a for a, b in existing[contig]):
                 wanted.append((contig, start, after - 1))
     assert sorted(map(tuple, QUERIES["extended_regions"](spark, sf_dir).select("chr", "start", "stop").collect())) == sorted(wanted)
-
-
-def test_a_shared_passage_of_23_code_points_is_found():
-    rng = random.Random(5)
-    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
-    for _ in range(200):
-        passage = text(23)
-        x, y = (fingerprint.winnow(text(rng.randrange(60)) + passage + text(rng.randrange(60)))[0] for _ in range(2))
-        assert set(x.tolist()) & set(y.tolist())
