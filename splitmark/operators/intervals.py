@@ -98,6 +98,22 @@ def nearest(sites: DataFrame, features: DataFrame, reach: int) -> DataFrame:
     return best.select("id", "m.name", "m.distance")
 
 
+def genes_near(sites: DataFrame, exons: DataFrame, reach: int = 5000) -> DataFrame:
+    """(id, genes, cdsdist): all genes whose span comes within ``reach`` of a site, by name, and of each the distance to its nearest exon's
+    ends, 0 where an exon touches the site or a neighbouring position. Sites without a gene are left out.
+
+    ``sites``: id, chr, pos; ``exons``: gene, chr, start, stop.
+    """
+    spans = exons.groupBy("gene", "chr").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    near = overlap_join(sites.select("id", "chr", "pos", F.col("pos").alias("start"), F.col("pos").alias("stop")), spans, reach)
+    met = near.select(F.col("id_a").alias("id"), F.col("pos_a").alias("pos"), F.col("gene_b").alias("gene"), F.col("chr_b").alias("chr")).join(exons.select("gene", "chr", "start", "stop"), ["gene", "chr"])
+    inside = (F.col("start") <= F.col("pos") + 1) & (F.col("stop") >= F.col("pos") - 1)
+    gap = F.when(inside, 0).otherwise(F.least(F.abs(F.col("start") - F.col("pos")), F.abs(F.col("stop") - F.col("pos"))))
+    nearest_exon = met.groupBy("id", "gene").agg(F.min(gap).cast("int").alias("distance"))
+    listed = nearest_exon.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("gene", "distance"))).alias("g"))
+    return listed.select("id", F.col("g.gene").alias("genes"), F.col("g.distance").alias("cdsdist"))
+
+
 def in_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Reads that overlap any of the regions, once each."""
     cols = reads.columns

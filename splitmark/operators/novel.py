@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitmark import schema
 from splitmark.functions import genomics as G
-from splitmark.operators import controls
+from splitmark.operators import controls, intervals, partners, reads
+from splitmark.session import written
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,30 @@ def reference_reason(end: int = 5) -> Column:
     return F.when(homopolymer, "homopolymer").when(unknown, "unknown_bases")
 
 
+def find_breakpoints(quiet: DataFrame, control: DataFrame, reference: DataFrame, exons: DataFrame, params: NovelParams = NovelParams(), own_counted: bool = True) -> DataFrame:
+    """The whole search: one row for each sample and novel site, as ``report.output_rows`` takes it.
+
+    ``quiet``: reads with their breakpoints, behind the noise gate and without duplicates, with bases and qualities. Sites have to be deep,
+    rare, well mapped and with few mates' contigs, of good clip quality, and in reference sequence that is known and no homopolymer. A
+    site's partner is sought with the consensus of the sample that agrees best there, the first by name of those; genes come with the
+    distances to their nearest exons.
+    """
+    place = ["sample", "chr", "bp_pos"]
+    observed = reads.site_counts(quiet).withColumn("bp_id", schema.xpos(F.col("chr_idx"), F.col("bp_pos")))
+    novel = novel_sites(observed, control, own_counted, params).join(observed.select(*place, "start_clips"), place)
+    good = good_quality(novel, reads.clip_qualities(quiet), params).withColumnRenamed("bp_pos", "pos")
+    known = oriented(flanks(good, reference, params.flank)).where(reference_reason().isNull()).drop("before", "after", "same_side")
+    agreed = reads.consensus(quiet).select("sample", "chr", F.col("bp_pos").alias("pos"), "bases", "score")
+    found = written(known.join(agreed, ["sample", "chr", "pos"]), "found")
+    best = found.groupBy("id", "chr").agg(F.min(F.struct((-F.col("score")).alias("score"), "sample", "bases", "opposing")).alias("b"))
+    sites = best.select("id", "chr", "b.bases", "b.opposing", (-F.col("b.score")).alias("score"))
+    chosen = partners.choose(partners.candidates(partners.queries(sites), partners.targets(sites)))
+    placed = found.select(F.col("id").alias("partner"), F.concat_ws(":", "chr", F.col("pos").cast("string")).alias("text")).distinct()
+    named = chosen.join(placed, "partner").select("id", F.col("text").alias("partner"))
+    genes = intervals.genes_near(found.select("id", "chr", "pos").distinct(), exons)
+    return found.select("id", "chr", "pos", "sample", "obs", "sample_count", "score", "bases").join(named, "id", "left").join(genes, "id", "left")
+
+
 def merge_samples(found: DataFrame) -> DataFrame:
     """Sites of several samples as one row each: obs and samples summed, the first sample by name shown."""
     return found.groupBy("id", "chr", "bp_pos").agg(F.sum("obs").alias("obs"), F.count("*").alias("samples"), F.min("sample").alias("sample"), F.max("frequency").alias("frequency"))
@@ -93,8 +119,6 @@ def merge_samples(found: DataFrame) -> DataFrame:
 
 def extended_regions(reads: DataFrame, existing: DataFrame, depth: int = 2) -> DataFrame:
     """Where more than ``depth`` mates of reads in ``existing`` gather outside of it: merged regions around the mates."""
-    from splitmark.operators import intervals
-
     n = F.char_length("bases")
     mates = reads.select(F.col("mate_chr").alias("chr"), F.col("mate_start").alias("start"), (F.col("mate_start") + n).alias("stop"))
     deep = intervals.coverage(mates).where(F.col("depth") > depth).select("chr", "start", "stop")

@@ -381,15 +381,22 @@ def reference_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flanked(spark, sf_dir).select("id", F.coalesce(novel.reference_reason(), F.lit("kept")).alias("reason"))
 
 
-_PARTNER_SITES = f"""{_SITES}, p AS (
-    SELECT id, chr, pos, CASE WHEN pos < 11000 THEN CASE WHEN pos % 16 >= 5 THEN (pos - 10005) // 16 ELSE (pos - 10000) // 16 END ELSE (pos - 20000) // 100 END AS q FROM controls),
-    ps AS (SELECT id, chr, CASE WHEN q % 2 = 0 THEN q - 1 ELSE q + 1 END AS nq, q FROM p),
-    pt AS (SELECT id, chr, substr(translate(md5(concat('c', chr, '_', CAST(nq AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 15) AS bases, substr(translate(md5(concat('c', chr, '_', CAST(q AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 15) AS opposing FROM ps),
-    pq AS (SELECT id, chr, 'plain' AS orientation, left(bases, 14) AS seq FROM pt UNION ALL SELECT id, chr, 'reversed', left(reverse(bases), 14) FROM pt UNION ALL SELECT id, chr, 'complement', left(reverse(translate(bases, 'ACGTN', 'TGCAN')), 14) FROM pt),
-    tg AS (SELECT DISTINCT id, chr, seq FROM (SELECT id, chr, left(opposing, 14) AS seq FROM pt UNION ALL SELECT id, chr, left(reverse(opposing), 14) FROM pt)),
+#: Partners of the sites in ``pt`` (id, chr, bases, opposing, score): pairs, then each site's choice (rk, picked).
+_PAIR_SQL = """pc AS (SELECT * FROM pt WHERE score > 10 AND length(bases) >= 14),
+    pq AS (SELECT id, chr, 'plain' AS orientation, left(bases, 14) AS seq FROM pc UNION ALL SELECT id, chr, 'reversed', left(reverse(bases), 14) FROM pc UNION ALL SELECT id, chr, 'complement', left(reverse(translate(bases, 'ACGTN', 'TGCAN')), 14) FROM pc),
+    tg AS (SELECT DISTINCT id, chr, seq FROM (SELECT id, chr, left(opposing, 14) AS seq FROM pt UNION ALL SELECT id, chr, left(reverse(opposing), 14) FROM pt) WHERE length(seq) = 14),
     nr AS (SELECT a.seq, b.seq AS other, levenshtein(a.seq, b.seq) AS cost FROM (SELECT DISTINCT seq FROM pq) a JOIN (SELECT DISTINCT seq FROM tg) b ON levenshtein(a.seq, b.seq) <= 2),
     rare AS (SELECT nr.seq FROM nr JOIN tg ON tg.seq = nr.other GROUP BY nr.seq HAVING count(*) <= 7),
     pairs AS (SELECT pq.id, pq.chr, pq.orientation, tg.id AS partner, tg.chr AS partner_chr, min(nr.cost) AS cost FROM pq JOIN nr USING (seq) JOIN rare USING (seq) JOIN tg ON tg.seq = nr.other WHERE pq.id <> tg.id GROUP BY 1, 2, 3, 4, 5)"""
+_CHOICE_SQL = """one AS (SELECT id, chr, partner, partner_chr, min(cost) AS cost FROM pairs GROUP BY 1, 2, 3, 4),
+    ch AS (SELECT * FROM one QUALIFY rank() OVER (PARTITION BY id ORDER BY cost) = 1),
+    rk AS (SELECT a.*, CASE WHEN b.id IS NULL THEN 1 ELSE 0 END AS one_way FROM ch a LEFT JOIN ch b ON b.id = a.partner AND b.partner = a.id),
+    picked AS (SELECT id, partner, CAST(cost AS INT) AS cost FROM rk QUALIFY row_number() OVER (PARTITION BY id ORDER BY one_way, chr <> partner_chr, abs(partner - id), partner) = 1)"""
+_PARTNER_SITES = f"""{_SITES}, p AS (
+    SELECT id, chr, pos, CASE WHEN pos < 11000 THEN CASE WHEN pos % 16 >= 5 THEN (pos - 10005) // 16 ELSE (pos - 10000) // 16 END ELSE (pos - 20000) // 100 END AS q FROM controls),
+    ps AS (SELECT id, chr, CASE WHEN q % 2 = 0 THEN q - 1 ELSE q + 1 END AS nq, q FROM p),
+    pt AS (SELECT id, chr, substr(translate(md5(concat('c', chr, '_', CAST(nq AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 15) AS bases, substr(translate(md5(concat('c', chr, '_', CAST(q AS STRING))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 15) AS opposing, 15.0 AS score FROM ps),
+    {_PAIR_SQL}"""
 
 
 def _partner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,10 +415,7 @@ def partner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _partner_pairs(spark, sf_dir).select("id", "orientation", "partner", "cost")
 
 
-@query("partner_choice", f"""{_PARTNER_SITES}, one AS (SELECT id, chr, partner, partner_chr, min(cost) AS cost FROM pairs GROUP BY 1, 2, 3, 4),
-    ch AS (SELECT * FROM one QUALIFY rank() OVER (PARTITION BY id ORDER BY cost) = 1),
-    rk AS (SELECT a.*, CASE WHEN b.id IS NULL THEN 1 ELSE 0 END AS one_way FROM ch a LEFT JOIN ch b ON b.id = a.partner AND b.partner = a.id)
-    SELECT id, partner, CAST(cost AS INT) AS cost FROM rk QUALIFY row_number() OVER (PARTITION BY id ORDER BY one_way, chr <> partner_chr, abs(partner - id), partner) = 1""")
+@query("partner_choice", f"{_PARTNER_SITES}, {_CHOICE_SQL} SELECT * FROM picked")
 def partner_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partners.choose(_partner_pairs(spark, sf_dir))
 
@@ -566,10 +570,48 @@ def sample_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sample_names(controls.control_sites(observed), observed)
 
 
-@query("output_table", f"""{_CONSENSUS}, {EXONS_SQL} SELECT chr, bp_pos AS start, bp_pos + 1 AS end, regexp_extract(sample, '^S(\\d+)$', 1) AS sample, depth, CAST(depth AS BIGINT) AS sample_count, round_even(score / length(bases), 3) AS cscore, '' AS partner, 'G' AS genes, '-1' AS cdsdist FROM consensus""")
+_FOUND = f"""{_SITES.replace("WITH ", "WITH " + EXONS_SQL + ", " + REFERENCE_SQL + ", ", 1)}, {_CONSENSUS[len(_QUIET) + 2 :]},
+    q AS (SELECT sample, chr, bp_pos, unnest(CASE WHEN side = 'start' THEN list_slice(quals, greatest({_LEAD} - 15, 0) + 1, greatest({_LEAD} - 15, 0) + least({_LEAD}, 15)) ELSE list_slice(quals, len(quals) - {_TAIL} + 1, len(quals) - {_TAIL} + least({_TAIL}, 15)) END) AS q FROM quiet),
+    good AS (SELECT sample, chr, bp_pos FROM q GROUP BY 1, 2, 3 HAVING quantile_cont(q, 0.5) >= 15),
+    nov AS (SELECT o.sample, o.chr, o.bp_pos AS pos, o.bp_id AS id, o.obs, o.start_clips, greatest(coalesce(c.sample_count, 0) - 1, 0) AS frequency FROM observed o JOIN good USING (sample, chr, bp_pos) LEFT JOIN controls c ON c.id = o.bp_id
+      WHERE o.obs >= 3 AND mapped >= 2 AND mate_chrs <= 4 AND greatest(coalesce(c.sample_count, 0) - 1, 0) <= 10),
+    genome AS (SELECT chr, string_agg(bases, '' ORDER BY bin) AS g FROM ref_seq GROUP BY chr),
+    sided AS (SELECT n.*, CASE WHEN start_clips > 0 THEN substr(g, pos - 14, 15) ELSE substr(g, pos + 1, 15) END AS opposing, CASE WHEN start_clips > 0 THEN substr(g, pos + 1, 15) ELSE substr(g, pos - 14, 15) END AS same_side FROM nov n JOIN genome USING (chr)),
+    kept AS (SELECT s.*, c.bases, c.score FROM sided s JOIN consensus c ON c.sample = s.sample AND c.chr = s.chr AND c.bp_pos = s.pos
+      WHERE NOT ({_HOMO.format("same_side", "right(same_side, 5)")} OR {_HOMO.format("opposing", "left(opposing, 5)")}) AND opposing NOT LIKE '%NNN' AND same_side NOT LIKE 'NNN%'),
+    pt AS (SELECT id, chr, bases, opposing, score FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, sample) = 1), {_PAIR_SQL}, {_CHOICE_SQL},
+    spans AS (SELECT gene, chr, min(start) AS start, max(stop) AS stop FROM exons GROUP BY 1, 2),
+    met AS (SELECT DISTINCT k.id, k.pos, s.gene, s.chr FROM kept k JOIN spans s ON s.chr = k.chr AND s.start <= k.pos + 5000 AND s.stop >= k.pos - 5000),
+    gd AS (SELECT id, m.gene, min(CASE WHEN e.start <= pos + 1 AND e.stop >= pos - 1 THEN 0 ELSE least(abs(e.start - pos), abs(e.stop - pos)) END) AS distance FROM met m JOIN exons e ON e.gene = m.gene AND e.chr = m.chr GROUP BY 1, 2),
+    gl AS (SELECT id, string_agg(gene, ',' ORDER BY gene) AS genes, string_agg(CAST(distance AS STRING), ',' ORDER BY gene) AS cdsdist FROM gd GROUP BY id),
+    found AS (SELECT k.*, CASE WHEN p.partner IS NULL THEN '' ELSE concat(CAST(p.partner // 1000000000 AS STRING), ':', CAST(p.partner % 1000000000 AS STRING)) END AS partner, coalesce(gl.genes, '') AS genes, coalesce(gl.cdsdist, '') AS cdsdist FROM kept k LEFT JOIN picked p USING (id) LEFT JOIN gl USING (id))"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Novel sites of all samples from their reads to partners and genes; the control table is counted from the same reads."""
+    quiet = written(_quiet(spark, sf_dir, "bases", "quals"), "quiet")
+    observed = reads.site_counts(quiet).withColumn("bp_id", schema.xpos(F.col("chr_idx"), F.col("bp_pos")))
+    return novel.find_breakpoints(quiet, controls.control_sites(observed), projection.reference(spark, sf_dir), projection.exons(spark, sf_dir))
+
+
+@query("find_breakpoints", f"{_FOUND} SELECT id, sample, obs, CAST(frequency + 1 AS BIGINT) AS sample_count, bases, partner, genes, cdsdist FROM found")
+def find_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit("")).alias(c)
+    return _found(spark, sf_dir).select("id", "sample", "obs", "sample_count", "bases", F.coalesce("partner", F.lit("")).alias("partner"), joined("genes"), joined("cdsdist"))
+
+
+@query("output_table", f"""{_FOUND} SELECT chr, pos AS start, pos + 1 AS end, regexp_extract(sample, '^S(\\d+)$', 1) AS sample, obs AS depth, CAST(frequency + 1 AS BIGINT) AS sample_count, round_even(score / length(bases), 3) AS cscore, partner, genes, cdsdist FROM found""")
 def output_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reads.consensus(_quiet(spark, sf_dir, "bases")).select("chr", F.col("bp_pos").alias("pos"), "sample", F.col("depth").alias("obs"), F.col("depth").alias("sample_count"), "score", "bases", F.lit(None).cast("string").alias("partner"), F.array(F.lit("G")).alias("genes"), F.array(F.lit(-1)).alias("cdsdist"))
-    return report.output_rows(found, r"S(\d+)")
+    return report.output_rows(_found(spark, sf_dir), r"S(\d+)")
+
+
+@query("genes_near", f"""{_SITES.replace("WITH ", "WITH " + EXONS_SQL + ", ", 1)}, spans AS (SELECT gene, chr, min(start) AS start, max(stop) AS stop FROM exons GROUP BY 1, 2),
+    met AS (SELECT c.id, c.pos, s.gene, s.chr FROM controls c JOIN spans s ON s.chr = c.chr AND s.start <= c.pos + 5000 AND s.stop >= c.pos - 5000),
+    gd AS (SELECT id, m.gene, min(CASE WHEN e.start <= pos + 1 AND e.stop >= pos - 1 THEN 0 ELSE least(abs(e.start - pos), abs(e.stop - pos)) END) AS distance FROM met m JOIN exons e ON e.gene = m.gene AND e.chr = m.chr GROUP BY 1, 2)
+    SELECT id, string_agg(gene, ',' ORDER BY gene) AS genes, string_agg(CAST(distance AS STRING), ',' ORDER BY gene) AS cdsdist FROM gd GROUP BY id""")
+def genes_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intervals.genes_near(_controls(spark, sf_dir), projection.exons(spark, sf_dir))
+    return found.select("id", F.array_join("genes", ",").alias("genes"), F.array_join(F.col("cdsdist").cast("array<string>"), ",").alias("cdsdist"))
 
 
 @query("bed_rows", f"{_NOVEL} SELECT chr, bp_pos - 100 AS start, bp_pos + 100 AS stop, sample FROM novel")
