@@ -98,10 +98,11 @@ def direction_code(direction: Column) -> Column:
     return F.when(direction == "REVERSE", "r").when(direction == "FORWARD", "f")
 
 
-def orientation(flags: str, start: str, mate_start: str) -> Column:
-    """FR, RF or TANDEM of a pair on one contig, by strands and the order of starts."""
+def orientation(flags: str, start: str, end: str, mate_start: str, insert_size: str) -> Column:
+    """FR, RF or TANDEM of a pair by its strands; FR where the forward read's first base lies before the reverse read's. A forward read
+    tells its mate's by the insert size, so a pair on two contigs (insert size 0) isn't FR there."""
     reverse, mate = schema.flag(schema.REVERSE, flags), schema.flag(schema.MATE_REVERSE, flags)
-    forward_first = F.when(~reverse, F.col(start) <= F.col(mate_start)).otherwise(F.col(mate_start) <= F.col(start))
+    forward_first = F.when(~reverse, F.col(start) < F.col(start) + F.col(insert_size)).otherwise(F.col(mate_start) < F.col(end))
     return F.when(reverse == mate, "TANDEM").when(forward_first, "FR").otherwise("RF")
 
 

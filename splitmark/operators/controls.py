@@ -29,6 +29,22 @@ def control_sites(observed: DataFrame, params: ControlParams = ControlParams())
     return kept.select("id", "chr", "pos", "sample_count", "obs")
 
 
+def mapping_quality(observed: DataFrame) -> DataFrame:
+    """(id, chr, pos, reads, min_mapq, max_mapq, mean_mapq, sd_mapq) of all reads at a site, over all samples of ``reads.site_counts``.
+
+    Counts, sums and squares add up, so tables of several files give what one table of all reads gives. The deviation divides by one
+    less than the reads; it is 0 for a single read.
+    """
+    n, s, q = F.sum("obs"), F.sum("mapq_sum"), F.sum("mapq_squares")
+    sums = observed.groupBy("chr", "chr_idx", "bp_pos").agg(n.alias("n"), s.alias("s"), q.alias("q"), F.min("min_mapq").alias("min_mapq"), F.max("max_mapq").alias("max_mapq"))
+    squares = F.col("q") - F.col("s").cast("double") * F.col("s") / F.col("n")
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("n") - 1))).otherwise(0.0)
+    return sums.select(
+        schema.xpos(F.col("chr_idx"), F.col("bp_pos")).alias("id"), "chr", F.col("bp_pos").alias("pos"), F.col("n").alias("reads"), "min_mapq", "max_mapq",
+        F.round(F.col("s") / F.col("n"), 6).alias("mean_mapq"), F.round(spread, 6).alias("sd_mapq"),
+    )
+
+
 def combine(*tables: DataFrame) -> DataFrame:
     """Control tables merged by site; counts add up, of several references the largest in order of letters stays."""
     merged = tables[0]

@@ -16,15 +16,17 @@ def _bins(low: Column, high: Column, size: int) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0, size: int = BIN, how: str = "inner") -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, reach: int = 0, size: int = BIN, how: str = "inner", by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows on one contig whose intervals share a position, or come within ``reach``. Columns get the suffixes _a and _b.
 
-    ``how``: inner, or left_anti for the rows of ``a`` without a partner (under their own names).
+    ``how``: inner, or left_anti for the rows of ``a`` without a partner (under their own names). ``by``: columns that both must agree in.
     """
     left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns]).withColumn("low_a", F.col("start_a") - reach).withColumn("high_a", F.col("stop_a") + reach)
     left = left.withColumn("bin", F.explode(_bins(F.col("low_a"), F.col("high_a"), size)))
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("bin_b", F.explode(_bins(F.col("start_b"), F.col("stop_b"), size)))
     meets = (F.col("chr_a") == F.col("chr_b")) & (F.col("bin") == F.col("bin_b")) & (F.col("low_a") <= F.col("stop_b")) & (F.col("high_a") >= F.col("start_b"))
+    for c in by:
+        meets = meets & (F.col(f"{c}_a") == F.col(f"{c}_b"))
     if how == "left_anti":
         keys = [f"{c}_a" for c in a.columns]
         met = left.join(right, meets, "left_semi").select(*[F.col(k).alias(c) for k, c in zip(keys, a.columns, strict=True)]).distinct()
@@ -43,9 +45,33 @@ def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def reduce(regions: DataFrame, size: int = BIN) -> DataFrame:
-    """Overlapping regions merged: (chr, start, stop). Bins are merged first, so the second pass sees islands only."""
+    """Overlapping regions merged: (chr, start, stop).
+
+    Regions are merged within the bins that they start in. Those of a bin that begin within the reach of earlier bins belong to the last
+    merged region that began there; only one row for each bin runs along a contig to tell both.
+    """
     local = _islands(regions.select("chr", F.floor(F.col("start") / size).alias("bin"), "start", "stop"), ["chr", "bin"])
-    return _islands(local, ["chr"]).select("chr", "start", "stop")
+    earlier = Window.partitionBy("chr").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    reached = local.groupBy("chr", "bin").agg(F.max("stop").alias("last")).select("chr", "bin", F.max("last").over(earlier).alias("reached"))
+    joined = local.join(reached, ["chr", "bin"])
+    marked = joined.withColumn("head", F.when(F.col("reached").isNull() | (F.col("reached") < F.col("start")), F.col("start")))
+    heads = marked.groupBy("chr", "bin").agg(F.max("head").alias("head")).select("chr", "bin", F.max("head").over(earlier).alias("before"))
+    named = marked.join(heads, ["chr", "bin"]).withColumn("head", F.coalesce("head", "before"))
+    return named.groupBy("chr", "head").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("head")
+
+
+def numbered(rows: DataFrame, by: list[str], pos: str, ties: tuple[str, ...] = (), size: int = BIN) -> DataFrame:
+    """``rows`` with ``at``: their number from 0 by ``pos`` and ``ties`` within each group of ``by``.
+
+    Rows are numbered within bins; to that is added what the bins before hold, so one row for each bin runs along a contig.
+    """
+    binned = rows.withColumn("_bin", F.floor(F.col(pos) / size))
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("n"))
+    before = counts.select(*by, "_bin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(pos, *ties)
+    own = binned.withColumn("at", F.row_number().over(inside) - 1).join(before, [*by, "_bin"])
+    return own.withColumn("at", F.col("at") + F.col("_before")).drop("_bin", "_before")
 
 
 def coverage(regions: DataFrame, size: int = BIN) -> DataFrame:
@@ -122,7 +148,7 @@ def in_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return hits.dropDuplicates(["sample", "read_name", "file_ord"])
 
 
-def around(sites: DataFrame, reads: DataFrame, reach: int) -> DataFrame:
-    """(site columns as they are, read columns with the suffix _b): reads within ``reach`` of each site."""
+def around(sites: DataFrame, reads: DataFrame, reach: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reads (suffix _b) within ``reach`` of each site (suffix _a), of those that agree in the columns ``by``."""
     placed = reads.withColumn("start", F.col("aln_start")).withColumn("stop", F.col("aln_end"))
-    return overlap_join(sites.withColumn("start", F.col("pos")).withColumn("stop", F.col("pos")), placed, reach)
+    return overlap_join(sites.withColumn("start", F.col("pos")).withColumn("stop", F.col("pos")), placed, reach, by=by)

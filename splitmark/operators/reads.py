@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from splitmark import schema
 from splitmark.functions import genomics as G
+from splitmark.operators import intervals
 
 
 @dataclass(frozen=True)
@@ -121,16 +122,20 @@ def noise_regions(windows: DataFrame) -> DataFrame:
 
     A run that is still open at the end of a contig is closed there.
     """
-    order = Window.partitionBy("sample", "chr").orderBy("pos")
-    marked = windows.select("sample", "chr", "pos", "noisy", (F.row_number().over(order) - F.sum(F.col("noisy").cast("int")).over(order)).alias("run"))
-    return marked.where("noisy").groupBy("sample", "chr", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count("*").alias("places")).drop("run")
+    by = ["sample", "chr"]
+    noisy = intervals.numbered(windows.select(*by, "pos", "noisy"), by, "pos").where("noisy").withColumnRenamed("at", "place")
+    runs = intervals.numbered(noisy, by, "pos").withColumn("run", F.col("place") - F.col("at"))
+    return runs.groupBy("sample", "chr", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count("*").alias("places")).drop("run")
 
 
-def trailing_clips(reads: DataFrame, width: int = 500) -> DataFrame:
-    """Clipped reads that start within ``width`` before each start: (sample, chr, pos, clips)."""
+def trailing_clips(reads: DataFrame, width: int = 500, size: int = 1 << 16) -> DataFrame:
+    """Clipped reads that start within ``width`` before each start: (sample, chr, pos, clips). Contigs are cut into bins of ``size``, each
+    with what lies within ``width`` before it."""
     counts = reads.groupBy("sample", "chr", F.col("aln_start").alias("pos")).agg(F.count("*").alias("n"))
-    frame = Window.partitionBy("sample", "chr").orderBy("pos").rangeBetween(-width, 0)
-    return counts.select("sample", "chr", "pos", F.sum("n").over(frame).alias("clips"))
+    binned = counts.withColumn("own", F.floor(F.col("pos") / size)).withColumn("bin", F.explode(F.sequence("own", F.floor((F.col("pos") + width) / size))))
+    frame = Window.partitionBy("sample", "chr", "bin").orderBy("pos").rangeBetween(-width, 0)
+    found = binned.select("sample", "chr", "pos", "own", "bin", F.sum("n").over(frame).alias("clips"))
+    return found.where("own = bin").select("sample", "chr", "pos", "clips")
 
 
 def without_duplicates(reads: DataFrame) -> DataFrame:
@@ -163,10 +168,12 @@ def observations(reads: DataFrame) -> DataFrame:
 
 
 def site_counts(reads: DataFrame) -> DataFrame:
-    """As :func:`observations` without the lists: every aggregate has a fixed size."""
+    """As :func:`observations` without the lists: every aggregate has a fixed size. Mapping qualities come as what adds up over samples."""
+    mapq = F.col("mapq").cast("bigint")
     return reads.groupBy("sample", "chr", "chr_idx", "bp_pos").agg(
-        F.count("*").alias("obs"), F.count_if(F.col("side") == "start").alias("start_clips"), F.max("mapq").alias("max_mapq"), F.count_if(F.col("mapq") >= 2).alias("mapped"), F.count_distinct("mate_chr_idx").alias("mate_chrs")
-    )
+        F.count("*").alias("obs"), F.count_if(F.col("side") == "start").alias("start_clips"), F.max("mapq").alias("max_mapq"), F.count_if(F.col("mapq") >= 2).alias("mapped"), F.count_distinct("mate_chr_idx").alias("mate_chrs"),
+        F.min("mapq").alias("min_mapq"), F.sum(mapq).alias("mapq_sum"), F.sum(mapq * mapq).alias("mapq_squares"),
+    )
 
 
 def clip_qualities(reads: DataFrame, n: int = 15) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitmark.functions import genomics as G
+from splitmark.operators import intervals
 
 
 @dataclass(frozen=True)
@@ -85,11 +86,12 @@ def page(rows: DataFrame, number: int, size: int = 15) -> DataFrame:
 
 
 def best_per_group(scores: DataFrame) -> DataFrame:
-    """Of each id the best scored alignment, numbered along its contig: (id, chr, start, score, label)."""
-    order = F.struct((-F.col("score")).alias("score"), "chr", "start")
-    best = scores.groupBy("id").agg(F.min(order).alias("m")).select("id", "m.chr", "m.start", (-F.col("m.score")).alias("score"))
-    at = F.row_number().over(Window.partitionBy("chr").orderBy("start", "id")) - 1
-    return best.withColumn("label", F.concat_ws("_", "chr", at.cast("string")))
+    """Of each id the best scored alignment, numbered along its contig: (id, chr, start, score, label), and ``stop`` where there is one."""
+    more = [c for c in ("stop",) if c in scores.columns]
+    order = F.struct((-F.col("score")).alias("score"), "chr", "start", *more)
+    best = scores.groupBy("id").agg(F.min(order).alias("m")).select("id", "m.chr", "m.start", *[f"m.{c}" for c in more], (-F.col("m.score")).alias("score"))
+    label = F.concat(F.lit("chr"), F.regexp_replace("chr", "^chr", ""), F.lit("_"), F.col("at").cast("string"))
+    return intervals.numbered(best, ["chr"], "start", ("id",)).withColumn("label", label).drop("at")
 
 
 def clip_depth(clips: DataFrame, least: int = 2) -> DataFrame:

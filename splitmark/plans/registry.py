@@ -232,12 +232,12 @@ def consensus_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.consensus(_quiet(spark, sf_dir, "bases"))
 
 
-@query("read_geometry", f"""WITH {READS_ORACLE} SELECT read_name, aln_start - {_LEAD} AS u_start, aln_end + {_TAIL} AS u_end, (flags & 16) <> 0 AS reverse_strand, (flags & 1) <> 0 AS paired, CASE WHEN ((flags & 16) <> 0) = ((flags & 32) <> 0) THEN 'TANDEM' WHEN CASE WHEN (flags & 16) = 0 THEN aln_start <= mate_start ELSE mate_start <= aln_start END THEN 'FR' ELSE 'RF' END AS orientation,
+@query("read_geometry", f"""WITH {READS_ORACLE} SELECT read_name, aln_start - {_LEAD} AS u_start, aln_end + {_TAIL} AS u_end, (flags & 16) <> 0 AS reverse_strand, (flags & 1) <> 0 AS paired, CASE WHEN ((flags & 16) <> 0) = ((flags & 32) <> 0) THEN 'TANDEM' WHEN CASE WHEN (flags & 16) = 0 THEN insert_size > 0 ELSE mate_start < aln_end END THEN 'FR' ELSE 'RF' END AS orientation,
     {_CLIP} AS longest, CAST({_MATCHED} AS INT) AS matched, CAST(chr_idx AS BIGINT) * 1000000000 + aln_start AS xpos FROM reads""")
 def read_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = G.unclipped(F.col("aln_start"), F.col("aln_end"), F.col("cigar"))
     ops = G.cigar_ops(F.col("cigar"))
-    return projection.reads(spark, sf_dir).select("read_name", start.alias("u_start"), end.alias("u_end"), schema.flag(schema.REVERSE).alias("reverse_strand"), schema.flag(schema.PAIRED).alias("paired"), G.orientation("flags", "aln_start", "mate_start").alias("orientation"), G.longest_clip(ops).alias("longest"), G.matched(ops).alias("matched"), schema.xpos(F.col("chr_idx"), F.col("aln_start")).alias("xpos"))
+    return projection.reads(spark, sf_dir).select("read_name", start.alias("u_start"), end.alias("u_end"), schema.flag(schema.REVERSE).alias("reverse_strand"), schema.flag(schema.PAIRED).alias("paired"), G.orientation("flags", "aln_start", "aln_end", "mate_start", "insert_size").alias("orientation"), G.longest_clip(ops).alias("longest"), G.matched(ops).alias("matched"), schema.xpos(F.col("chr_idx"), F.col("aln_start")).alias("xpos"))
 
 
 # --- controls -------------------------------------------------------------------------------------------------------------------
@@ -289,6 +289,16 @@ def control_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.id_ranges(_halves(spark, sf_dir))
 
 
+@query("mapping_quality_sites", f"{_QUIET} SELECT CAST(chr_idx AS BIGINT) * 1000000000 + bp_pos AS id, chr, bp_pos AS pos, count(*) AS reads, min(mapq) AS min_mapq, max(mapq) AS max_mapq, round(avg(mapq), 6) AS mean_mapq, round(coalesce(stddev_samp(mapq), 0), 6) AS sd_mapq FROM quiet GROUP BY chr, chr_idx, bp_pos")
+def mapping_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return controls.mapping_quality(_site_counts(spark, sf_dir))
+
+
+@query("observation_count", f"{_SITES} SELECT count(*) AS n FROM observed")
+def observation_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _site_counts(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
 @query("combine_observations", f"{_SITES} SELECT sample, bp_id, obs FROM observed WHERE CAST(substr(sample, 2) AS INT) % 2 = 0 UNION ALL SELECT sample, bp_id, obs FROM observed WHERE CAST(substr(sample, 2) AS INT) % 2 = 1")
 def combine_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = _site_counts(spark, sf_dir).select("sample", "bp_id", "obs")
@@ -502,9 +512,13 @@ def vcf_band_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.annotate(projection.relation(spark, sf_dir, (_VARIANTS,), "variants"), _controls(spark, sf_dir))
 
 
+_SUPPORT = f"CASE WHEN ({_LEAD} > 0 AND aln_start = s.pos) OR ({_TAIL} > 0 AND aln_end = s.pos) THEN 'SUPPORT' WHEN aln_start - {_LEAD} <= s.pos AND aln_end + {_TAIL} >= s.pos THEN 'CONTRA' ELSE 'NO_OVERLAP' END AS support"
 _NEAR = f"""{_SITES}, site AS (SELECT id, chr, pos FROM controls), near AS (
-    SELECT s.id, s.pos, r.*, CASE WHEN ({_LEAD} > 0 AND abs(aln_start - s.pos) <= 5) OR ({_TAIL} > 0 AND abs(aln_end - s.pos) <= 5) THEN 'SUPPORT' WHEN aln_start < s.pos AND aln_end > s.pos THEN 'CONTRA' ELSE 'NO_OVERLAP' END AS support
-    FROM site s JOIN reads r ON r.chr = s.chr AND r.aln_start <= s.pos + 200 AND r.aln_end >= s.pos - 200)"""
+    SELECT s.id, s.pos, r.*, {_SUPPORT} FROM site s JOIN reads r ON r.chr = s.chr AND r.aln_start <= s.pos + 200 AND r.aln_end >= s.pos - 200)"""
+#: Reads mapped as well as their mates, and of those the ones whose reverse read doesn't end behind the forward read's start.
+_PAIR = "((flags & 1) <> 0 AND (flags & 12) = 0)"
+_MISORIENTED = f"({_PAIR} AND (((flags & 16) <> 0) = ((flags & 32) <> 0) OR NOT CASE WHEN (flags & 16) = 0 THEN insert_size > 0 ELSE mate_start < aln_end END))"
+_END_CLIPPED = f"({_LEAD} > 0 OR {_TAIL} > 0)"
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,11 +526,10 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.around(sites, projection.reads(spark, sf_dir).drop("quals", "bases"), 200)
 
 
-@query("read_support_features", f"""{_NEAR}, top AS (SELECT id, support, max(n) AS n FROM (SELECT id, support, mate_chr, count(*) AS n FROM near WHERE (flags & 1) <> 0 AND chr <> mate_chr GROUP BY 1, 2, 3) GROUP BY 1, 2),
-    f AS (SELECT id, support, count(*) AS total, count(*) FILTER ((flags & 16) = 0) AS forward, count(*) FILTER ((flags & 16) <> 0) AS reverse, count(*) FILTER ((flags & 1) <> 0) AS paired, count(*) FILTER ((flags & 1) <> 0 AND chr <> mate_chr) AS chimeric,
-      count(*) FILTER (mapq = 0) AS mapq0, count(*) FILTER (mapq < 10) AS low_mapq, count(DISTINCT CASE WHEN (flags & 1) <> 0 THEN mate_chr END) AS mate_chrs,
-      count(*) FILTER ((flags & 1) <> 0 AND chr = mate_chr AND (((flags & 16) <> 0) = ((flags & 32) <> 0) OR NOT CASE WHEN (flags & 16) = 0 THEN aln_start <= mate_start ELSE mate_start <= aln_start END)) AS misoriented,
-      count(*) FILTER (cigar LIKE '%S%') AS clipped FROM near GROUP BY 1, 2)
+@query("read_support_features", f"""{_NEAR}, top AS (SELECT id, support, max(n) AS n FROM (SELECT id, support, mate_chr, count(*) AS n FROM near WHERE {_PAIR} AND chr <> mate_chr GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    f AS (SELECT id, support, count(*) AS total, count(*) FILTER ((flags & 16) = 0) AS forward, count(*) FILTER ((flags & 16) <> 0) AS reverse, count(*) FILTER ({_PAIR}) AS paired, count(*) FILTER ((flags & 1) <> 0 AND chr <> mate_chr) AS chimeric,
+      count(*) FILTER (mapq = 0) AS mapq0, count(*) FILTER (mapq < 10) AS low_mapq, count(DISTINCT CASE WHEN {_PAIR} THEN mate_chr END) AS mate_chrs, count(*) FILTER ({_MISORIENTED}) AS misoriented,
+      count(*) FILTER ({_END_CLIPPED}) AS clipped FROM near GROUP BY 1, 2)
     SELECT f.*, coalesce(top.n, 0) AS top_chimeric FROM f LEFT JOIN top USING (id, support)""")
 def read_support_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.read_support(_near(spark, sf_dir))
@@ -527,13 +540,17 @@ def support_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.support_table(_near(spark, sf_dir))
 
 
-@query("insert_size_clusters", f"""{_NEAR}, c AS (SELECT id, CAST(insert_size AS BIGINT) AS size, count(*) AS c FROM near WHERE insert_size > 0 GROUP BY 1, 2),
+#: Two parts of the insert sizes in ``near``, by site (x).
+_SIZES = """c AS (SELECT id, CAST(insert_size AS BIGINT) AS size, count(*) AS c FROM near WHERE (flags & 1) <> 0 AND insert_size > 0 GROUP BY 1, 2),
     r AS (SELECT id, sum(c) OVER up AS n, sum(c * size) OVER up AS s, sum(c * size * size) OVER up AS q, sum(c) OVER a AS n_all, sum(c * size) OVER a AS s_all, sum(c * size * size) OVER a AS q_all
       FROM c WINDOW up AS (PARTITION BY id ORDER BY size ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY id)),
     p AS (SELECT *, CAST(q AS DOUBLE) - CAST(s AS DOUBLE) * s / n AS l, CASE WHEN n < n_all THEN CAST(q_all - q AS DOUBLE) - CAST(s_all - s AS DOUBLE) * (s_all - s) / (n_all - n) ELSE 0 END AS rt, CAST(q_all AS DOUBLE) - CAST(s_all AS DOUBLE) * s_all / n_all AS whole FROM r),
     b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY n = n_all, l + rt, n) = 1),
     v AS (SELECT *, n_all >= 10 AND least(n, n_all - n) >= 4 AS split FROM b),
-    x AS (SELECT *, CASE WHEN split THEN sqrt(l / (n - 1) + rt / (n_all - n - 1) + 1) / (sqrt(whole / (n_all - 1)) + 1) ELSE 1 END AS spread FROM v)
+    x AS (SELECT *, CASE WHEN split THEN sqrt(l / (n - 1) + rt / (n_all - n - 1) + 1) / (sqrt(whole / (n_all - 1)) + 1) ELSE 1 END AS spread FROM v)"""
+
+
+@query("insert_size_clusters", f"""{_NEAR}, {_SIZES}
     SELECT id, CAST(n_all AS BIGINT) AS n_sizes, round(least(spread, 1 / spread), 6) AS sd_ratio, CASE WHEN split THEN round(abs((s_all - s) / (n_all - n) - s / n), 6) ELSE 0.0 END AS mean_shift FROM x""")
 def insert_size_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.insert_size_clusters(_near(spark, sf_dir))
@@ -605,6 +622,24 @@ def output_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.output_rows(_found(spark, sf_dir), r"S(\d+)")
 
 
+_FEATURES = {"forward": "(flags & 16) = 0", "reverse": "(flags & 16) <> 0", "lowMapQ": "mapq < 10", "multimapping": "mapq = 0", "nonFROrientation": _MISORIENTED, "softClipped": _END_CLIPPED}
+_FEATURE_SQL = ", ".join(
+    [f"count(*) FILTER (support = '{kind}' AND {rule}) AS {prefix}_{name}" for prefix, kind in features.PREFIXES.items() for name, rule in _FEATURES.items()]
+    + [f"count(DISTINCT CASE WHEN support = '{kind}' AND {_PAIR} THEN mate_chr END) AS {prefix}_numberOfMateChromosomes" for prefix, kind in features.PREFIXES.items()]
+)
+_FEATURE_ROWS = ", ".join(f"coalesce({p}_{f}, 0) AS {p}_{f}" for p in features.PREFIXES for f in features.SUPPORT_FEATURES)
+
+
+@query("annotated_breakpoints", f"""{_FOUND}, rows_ AS (SELECT concat(sample, '|', CAST(id AS STRING)) AS id, chr, pos AS start, sample, obs AS depth, CAST(frequency + 1 AS BIGINT) AS sample_count, round_even(score / length(bases), 3) AS cscore, partner, genes, cdsdist FROM found),
+    near AS (SELECT s.id, r.*, {_SUPPORT.replace("s.pos", "s.start")} FROM rows_ s JOIN reads r ON r.sample = s.sample AND r.chr = s.chr AND r.aln_start <= s.start + 200 AND r.aln_end >= s.start - 200),
+    counted AS (SELECT id, {_FEATURE_SQL} FROM near GROUP BY id), {_SIZES}
+    SELECT w.* EXCLUDE (id), {_FEATURE_ROWS}, CASE WHEN x.split THEN round(abs((x.s_all - x.s) / (x.n_all - x.n) - x.s / x.n), 6) ELSE 0.0 END AS insertSizeClusterMeanShift, coalesce(round(least(x.spread, 1 / x.spread), 6), 1.0) AS insertSizeClusterSdRatio
+    FROM rows_ w LEFT JOIN counted USING (id) LEFT JOIN x USING (id)""")
+def annotated_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(report.output_rows(_found(spark, sf_dir)), "rows")
+    return features.annotate_breakpoints(rows, projection.reads(spark, sf_dir).drop("quals", "bases"))
+
+
 @query("genes_near", f"""{_SITES.replace("WITH ", "WITH " + EXONS_SQL + ", ", 1)}, spans AS (SELECT gene, chr, min(start) AS start, max(stop) AS stop FROM exons GROUP BY 1, 2),
     met AS (SELECT c.id, c.pos, s.gene, s.chr FROM controls c JOIN spans s ON s.chr = c.chr AND s.start <= c.pos + 5000 AND s.stop >= c.pos - 5000),
     gd AS (SELECT id, m.gene, min(CASE WHEN e.start <= pos + 1 AND e.stop >= pos - 1 THEN 0 ELSE least(abs(e.start - pos), abs(e.stop - pos)) END) AS distance FROM met m JOIN exons e ON e.gene = m.gene AND e.chr = m.chr GROUP BY 1, 2)
@@ -648,7 +683,7 @@ def clip_depth_by_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_per_group", """WITH s AS (SELECT CAST(l_partkey % 500 AS BIGINT) AS id, CAST(l_linenumber AS STRING) AS chr, CAST(l_suppkey * 10 + l_orderkey % 10 AS BIGINT) AS start, CAST(l_extendedprice * 100 AS BIGINT) AS score FROM lineitem),
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, chr, start) = 1)
-    SELECT *, concat(chr, '_', CAST(row_number() OVER (PARTITION BY chr ORDER BY start, id) - 1 AS STRING)) AS label FROM b""")
+    SELECT *, concat('chr', chr, '_', CAST(row_number() OVER (PARTITION BY chr ORDER BY start, id) - 1 AS STRING)) AS label FROM b""")
 def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_partkey % 500 AS BIGINT) id", "CAST(l_linenumber AS STRING) chr", "CAST(l_suppkey * 10 + l_orderkey % 10 AS BIGINT) start", "CAST(round(l_extendedprice * 100) AS BIGINT) score")
     return report.best_per_group(rows)

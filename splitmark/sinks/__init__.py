@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitmark.operators.features import CORE, INSERT_FEATURES, PREFIXES, SUPPORT_FEATURES
+
 #: The columns of the output table, in order.
 COLUMNS = ("chr", "start", "end", "sample", "depth", "sample_count", "cscore", "partner", "genes", "cdsdist")
 
@@ -66,3 +68,29 @@ def vcf_lines(variants: DataFrame, annotated: DataFrame) -> DataFrame:
 def write_reads(reads: DataFrame, path: str) -> None:
     """Reads by contig and ranges of starts, sorted, so that a region scan skips most files and row groups."""
     reads.repartitionByRange("chr", "aln_start").sortWithinPartitions("chr", "aln_start").write.mode("overwrite").partitionBy("chr").parquet(path)
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """The annotated table of ``features.annotate_breakpoints`` with its header."""
+    rows.select(*CORE, *[f"{p}_{f}" for p in PREFIXES for f in SUPPORT_FEATURES], *INSERT_FEATURES).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def label_rows(best: DataFrame) -> DataFrame:
+    """(node_id, custom_label) of ``report.best_per_group``."""
+    return best.select(F.col("id").alias("node_id"), F.col("label").alias("custom_label"))
+
+
+def label_bed(best: DataFrame) -> DataFrame:
+    """(chr, start, stop, label) of labelled alignments, one position less on either side; ``best`` has ``stop``."""
+    return best.select(F.concat(F.lit("chr"), F.regexp_replace("chr", "^chr", "")).alias("chr"), (F.col("start") + 1).alias("start"), (F.col("stop") - 1).alias("stop"), "label")
+
+
+def write_labels(best: DataFrame, csv: str, bed: str) -> None:
+    """Labels of graph nodes as a table with a header, and their places as BED."""
+    label_rows(best).write.mode("overwrite").option("header", True).csv(csv)
+    write_bed(label_bed(best), bed)
+
+
+def write_statistics(counts: DataFrame, path: str) -> None:
+    """Counts by sample and reason (``reads.reason_counts`` by sample) as a table with a header."""
+    counts.select("sample", "reason", "n").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splitmark import schema
@@ -70,14 +75,32 @@ def vcf_contigs(spark: SparkSession, path: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str, bin_size: int = 32) -> DataFrame:
     """(chr, bin, bases) of a FASTA file, one row for each ``bin_size`` bases; positions count from 0 within a contig.
 
-    Records are split at their marks by the reader, so contigs are read side by side.
+    Lines are placed within the block of the file that they were read from, blocks after one another by one row for each block and
+    contig, so a contig is as many tasks as it has blocks. A contig without bases gives no row.
     """
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    bases = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", ""))
-    whole = rows.select(_contig(name).alias("chr"), bases.alias("whole"))
-    bins = F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("whole") / bin_size).cast("int") - 1, F.lit(0)))
-    return whole.select("chr", "whole", F.explode(bins).alias("bin")).select("chr", "bin", F.substring("whole", F.col("bin") * bin_size + 1, F.lit(bin_size)).alias("bases"))
+    split = ["file", "block"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\s+$", "").alias("line")
+    )
+    order = Window.partitionBy(*split).orderBy("n")
+    head = F.col("line").startswith(">")
+    length = F.when(head, 0).otherwise(F.char_length("line")).cast("bigint")
+    marked = lines.withColumns({"part": F.count_if(head).over(order), "len": length})
+    # part 0 of a block goes on with the contig of the block before
+    inside = Window.partitionBy(*split, "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("at", F.coalesce(F.sum("len").over(inside), F.lit(0)))
+    parts = marked.groupBy(*split, "part").agg(F.max(F.when(head, F.regexp_extract("line", r"^>\s*(\S*)", 1))).alias("name"), F.sum("len").alias("len"))
+    along = Window.partitionBy("file").orderBy("block", "part")
+    records = parts.withColumn("record", F.count("name").over(along)).where("record > 0")
+    before = Window.partitionBy("file", "record").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    named = records.select(*split, "part", "record", F.max("name").over(Window.partitionBy("file", "record")).alias("name"), F.coalesce(F.sum("len").over(before), F.lit(0)).alias("offset"))
+    pieces = placed.where("len > 0").join(named, [*split, "part"]).select("file", "record", "name", "line", "len", (F.col("at") + F.col("offset")).alias("at"))
+    bins = F.sequence(F.floor(F.col("at") / bin_size), F.floor((F.col("at") + F.col("len") - 1) / bin_size))
+    cut = pieces.withColumn("bin", F.explode(bins)).withColumn("from", F.greatest(F.col("bin") * bin_size - F.col("at"), F.lit(0)))
+    to = F.least((F.col("bin") + 1) * bin_size - F.col("at"), F.col("len"))
+    bits = cut.select("file", "record", "name", "bin", (F.col("at") + F.col("from")).alias("at"), F.substring("line", (F.col("from") + 1).cast("int"), (to - F.col("from")).cast("int")).alias("bases"))
+    joined = bits.groupBy("file", "record", "name", "bin").agg(F.array_sort(F.collect_list(F.struct("at", "bases"))).alias("b"))
+    return joined.select(_contig(F.col("name")).alias("chr"), F.col("bin").cast("int").alias("bin"), F.upper(F.array_join(F.transform("b", lambda x: x["bases"]), "")).alias("bases"))
 
 
 def exons(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +108,39 @@ def exons(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, columns="gene string, chr string, start int, stop int, strand string").withColumn("chr", _contig(F.col("chr")))
 
 
+def gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """(gene): the names of a text file, one a line, without blanks around them; empty lines are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("gene")).where("gene <> ''")
+
+
+def pedigree(spark: SparkSession, path: str) -> DataFrame:
+    """(family, sample, father, mother, sex, phenotype) of a pedigree file; ``0`` stands for an unknown parent, which is null here."""
+    f = F.split(F.trim("value"), r"\s+")
+    get = lambda i: F.get(f, F.lit(i))
+    rows = spark.read.text(path).where("trim(value) <> '' and not value like '#%'")
+    parent = lambda i, name: F.when(get(i) != "0", get(i)).alias(name)
+    return rows.select(get(0).alias("family"), get(1).alias("sample"), parent(2, "father"), parent(3, "mother"), get(4).try_cast("int").alias("sex"), get(5).alias("phenotype"))
+
+
+def zipped_tsv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The rows of all tables with a header in zip files, with ``member``, the table's name. ``columns``: what is taken of them, by name;
+    a column that a table lacks is null. One task holds one zip file, and one table of it at a time."""
+    wanted = spark.createDataFrame([], columns).columns
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in sorted(n for n in archive.namelist() if not n.endswith("/")):
+                        with archive.open(member) as table:
+                            rows = pd.read_csv(table, sep="\t", dtype=str, keep_default_na=False)
+                        yield pd.DataFrame({c: rows[c] if c in rows else pd.Series([None] * len(rows), dtype=object) for c in wanted}).assign(member=member)
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, ", ".join(f"`{c}` string" for c in [*wanted, "member"]))
+    types = spark.createDataFrame([], columns).schema
+    return text.select("member", *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in types])
+
+
 def gene_regions(wanted: DataFrame, exon_table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(regions, missing): the span of each wanted gene, and the names that aren't in the table."""
     spans = exon_table.groupBy("gene", "chr").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
@@ -106,6 +162,22 @@ def named_regions(spark: SparkSession, values: list[str], contigs: DataFrame | N
     return found
 
 
+def control_paths(spark: SparkSession, named: Sequence[str] = (), folder: str | None = None) -> list[str]:
+    """Tables of sites of the control databases that are named (patterns are allowed), or else of all ``*.db`` in ``folder``, or else of
+    all in the folder that the session names in ``spark.splitmark.databases``; in order of their names, each once."""
+    folder = folder or spark.conf.get("spark.splitmark.databases", None)
+    if not named and not folder:
+        raise ValueError("neither a control database nor a folder of them is given")
+    found = set()
+    for pattern in named or [f"{folder.rstrip('/')}/*.db"]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        matches = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+        if not matches:
+            raise ValueError(f"no control database at {pattern}")
+        found.update(m.getPath().toString() for m in matches)
+    return [f"{path}/breakpoint" for path in sorted(found)]
+
+
 def control_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Control tables of several folders as one, with ``db_id`` for where each row came from."""
     found = None

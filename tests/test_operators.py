@@ -151,6 +151,88 @@ def test_noise_does_not_depend_on_bins(spark):
     assert any(r[-1] for r in small)
 
 
+@pytest.mark.parametrize("size", [3, 50, 1 << 14])
+def test_numbers_along_a_contig_do_not_depend_on_bins(spark, size):
+    rng = random.Random(11)
+    places = [(c, rng.randrange(0, 400), i) for c in "ab" for i in range(120)]
+    got = {(r["c"], r["i"]): r["at"] for r in intervals.numbered(spark.createDataFrame(places, "c string, p int, i int"), ["c"], "p", ("i",), size).collect()}
+    wanted = {(c, i): n for name in "ab" for n, (c, _, i) in enumerate(sorted(x for x in places if x[0] == name))}
+    assert got == wanted
+
+
+def test_noisy_runs_and_trailing_clips_against_a_plain_pass(spark):
+    rng = random.Random(7)
+    marks = {c: [(p, rng.random() < 0.6) for p in sorted(rng.sample(range(60_000), 90))] for c in "12"}
+    table = spark.createDataFrame([("S", c, p, noisy) for c, rows in marks.items() for p, noisy in rows], "sample string, chr string, pos int, noisy boolean")
+    wanted = []
+    for c, rows in marks.items():
+        for noisy, run in itertools.groupby(rows, key=lambda r: r[1]):
+            run = [p for p, _ in run]
+            wanted += [(c, run[0], run[-1], len(run))] if noisy else []
+    assert sorted((r["chr"], r["start"], r["stop"], r["places"]) for r in reads.noise_regions(table).collect()) == sorted(wanted)
+    starts = [rng.randrange(0, 3000) for _ in range(200)]
+    clipped = spark.createDataFrame([("S", "1", p) for p in starts], "sample string, chr string, aln_start int")
+    for size in (64, 501, 1 << 16):
+        got = {r["pos"]: r["clips"] for r in reads.trailing_clips(clipped, 500, size).collect()}
+        assert got == {p: sum(p - 500 <= q <= p for q in starts) for p in starts}
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "cigar", "kind"),
+    [
+        (100, 159, "20S60M", "SUPPORT"),
+        (101, 160, "20S60M", "CONTRA"),
+        (99, 158, "20S60M", "CONTRA"),
+        (120, 179, "20S60M", "CONTRA"),
+        (121, 180, "20S60M", "NO_OVERLAP"),
+        (41, 100, "60M20S", "SUPPORT"),
+        (21, 80, "60M20S", "CONTRA"),
+        (20, 79, "60M20S", "NO_OVERLAP"),
+        (100, 179, "80M", "CONTRA"),
+        (20, 99, "80M", "NO_OVERLAP"),
+        (100, 119, "25S20M35S", "SUPPORT"),
+    ],
+)
+def test_reads_support_a_breakpoint_only_at_their_clip(spark, start, end, cigar, kind):
+    assert value(spark, features.support_type("pos"), pos=100, aln_start_b=start, aln_end_b=end, cigar_b=cigar) == kind
+
+
+@pytest.mark.parametrize(
+    ("flags", "start", "end", "mate", "insert", "kind"),
+    [(1, 100, 179, 300, 280, "FR"), (33, 100, 179, 300, 280, "FR"), (33, 100, 179, 50, -130, "RF"), (17, 300, 379, 100, -280, "FR"), (17, 100, 179, 300, 280, "RF"), (49, 100, 179, 300, 280, "TANDEM"), (33, 100, 179, 300, 0, "RF")],
+)
+def test_orientation(spark, flags, start, end, mate, insert, kind):
+    got = value(spark, G.orientation("f", "s", "e", "m", "i"), f=flags, s=start, e=end, m=mate, i=insert)
+    assert got == (kind if flags & 48 else "TANDEM")
+
+
+def test_annotated_rows_keep_their_columns_and_count_their_own_reads(spark):
+    near = [{"aln_start": 1000, "aln_end": 1059, "cigar": "20S60M", "flags": 33, "insert_size": 300}, {"aln_start": 960, "aln_end": 1039, "cigar": "80M", "flags": 9, "mapq": 0, "read_name": "c"}]
+    table = read_table(spark, *near, near[0] | {"sample": "T", "read_name": "t"})
+    row = ("1", 1000, "S", 4, 2, 0.99, "", "A", "0")
+    columns = "chr string, start int, sample string, depth int, sample_count int, cscore double, partner string, genes string, cdsdist string"
+    rows = spark.createDataFrame([row, row, ("2", 1000, "S", *row[3:])], columns)
+    found = features.annotate_breakpoints(rows, table).orderBy("chr").collect()
+    assert len(found) == 3
+    assert found[0] == found[1]
+    first, empty = found[0].asDict(), found[2].asDict()
+    assert tuple(first[c] for c in features.CORE) == row
+    assert (first["sup_forward"], first["sup_softClipped"], first["sup_numberOfMateChromosomes"], first["sup_nonFROrientation"]) == (1, 1, 1, 0)
+    assert (first["nsup_forward"], first["nsup_multimapping"], first["nsup_lowMapQ"], first["nsup_numberOfMateChromosomes"]) == (1, 1, 1, 0)
+    assert {empty[c] for c in empty if c.startswith(("sup_", "nsup_"))} == {0}
+    assert (empty["insertSizeClusterMeanShift"], empty["insertSizeClusterSdRatio"]) == (0.0, 1.0)
+    assert features.annotate_breakpoints(rows, table, by=()).orderBy("chr").first()["sup_forward"] == 2
+
+
+def test_mapping_qualities_add_up_over_samples(spark):
+    scores = {"S": [0, 60, 37], "T": [20]}
+    table = reads.positions(read_table(spark, *[{"sample": s, "mapq": q, "file_ord": i} for s, qs in scores.items() for i, q in enumerate(qs)]))
+    row = controls.mapping_quality(reads.site_counts(table)).first()
+    every = [q for qs in scores.values() for q in qs]
+    assert (row["reads"], row["min_mapq"], row["max_mapq"]) == (4, 0, 60)
+    assert (row["mean_mapq"], row["sd_mapq"]) == (round(float(np.mean(every)), 6), round(float(np.std(every, ddof=1)), 6))
+
+
 def test_deletion_keys_hold_all_within_two_edits(spark):
     keys = set(value(spark, partners.deletion_keys(F.col("t"), 2), t="ACGTAC"))
     wanted = {"".join(c for i, c in enumerate("ACGTAC") if i not in gone) for n in range(3) for gone in itertools.combinations(range(6), n)}
@@ -158,7 +240,7 @@ def test_deletion_keys_hold_all_within_two_edits(spark):
 
 
 def sizes_near(spark, groups):
-    return spark.createDataFrame([(i, int(x)) for i, sizes in groups.items() for x in sizes], "id_a long, insert_size_b int")
+    return spark.createDataFrame([(i, int(x), 1) for i, sizes in groups.items() for x in sizes], "id_a long, insert_size_b int, flags_b int")
 
 
 def test_insert_sizes_split_at_the_best_place_of_all(spark):

@@ -1,12 +1,15 @@
 """Text sources, sinks and the streaming build."""
 
 import json
+import random
+import zipfile
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from splitmark import sinks
+from splitmark.operators import report
 from splitmark.sources import text
 from splitmark.streaming.sites import absorb, release, streamed_sites
 
@@ -55,6 +58,63 @@ def test_fasta(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("1", 0, "ACGT"), ("1", 1, "ACGT"), ("2", 0, "TT")]
 
 
+def test_fasta_does_not_depend_on_blocks(spark, tmp_path):
+    draw = random.Random(3)
+    genome = {f"c{i}": "".join(draw.choices("acgtN", k=n)) for i, n in enumerate([1, 700, 0, 64, 333, 12])}
+    text_of = "".join(f">{name} about\n" + "".join(bases[i : i + 61] + "\n" for i in range(0, len(bases), 61)) for name, bases in genome.items())
+    path = write(tmp_path, "b.fa", text_of)
+    wanted = {(n, i // 32): b[i : i + 32].upper() for n, b in genome.items() for i in range(0, len(b), 32)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "256", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = text.fasta(spark, path).collect()
+            assert len(rows) == len(wanted)
+            assert {(r["chr"], r["bin"]): r["bases"] for r in rows} == wanted
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_gene_lists_pedigrees_and_zipped_tables(spark, tmp_path):
+    assert [r["gene"] for r in text.gene_list(spark, write(tmp_path, "genes.txt", " A \n\nB\n")).orderBy("gene").collect()] == ["A", "B"]
+    rows = text.pedigree(spark, write(tmp_path, "a.ped", "#family\nF1 child dad mum 1 2\nF1\tdad\t0\t0\t1\t1\n")).orderBy("sample").collect()
+    assert [tuple(r) for r in rows] == [("F1", "child", "dad", "mum", 1, "2"), ("F1", "dad", None, None, 1, "1")]
+    for name, tables in {"one.zip": {"s1.tsv": "sample\tinteresting\tnoisy\nS1\t5\t1\nS1\tx\t2\n", "s2.tsv": "sample\tnoisy\n"}, "two.zip": {"s3.tsv": "noisy\tsample\n7\tS3\n"}}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as archive:
+            for member, content in tables.items():
+                archive.writestr(member, content)
+    found = text.zipped_tsv(spark, str(tmp_path / "*.zip"), "sample string, interesting long, noisy long").orderBy("noisy").collect()
+    assert [tuple(r) for r in found] == [("s1.tsv", "S1", 5, 1), ("s1.tsv", "S1", None, 2), ("s3.tsv", "S3", None, 7)]
+
+
+def test_control_databases_are_found_by_name_pattern_or_folder(spark, tmp_path):
+    for name in ("a.db", "b.db", "other"):
+        (tmp_path / name).mkdir()
+    tails = lambda paths: [p.split("/")[-2] for p in paths]
+    assert tails(text.control_paths(spark, [f"{tmp_path}/oth*", f"{tmp_path}/a.db", f"{tmp_path}/a*"])) == ["a.db", "other"]
+    assert tails(text.control_paths(spark, folder=str(tmp_path))) == ["a.db", "b.db"]
+    with pytest.raises(ValueError, match="no control database"):
+        text.control_paths(spark, [f"{tmp_path}/c.db"])
+    with pytest.raises(ValueError, match="neither"):
+        text.control_paths(spark)
+    spark.conf.set("spark.splitmark.databases", str(tmp_path))
+    try:
+        assert tails(text.control_paths(spark)) == ["a.db", "b.db"]
+    finally:
+        spark.conf.unset("spark.splitmark.databases")
+
+
+def test_labels_and_statistics_are_written(spark, tmp_path):
+    scores = spark.createDataFrame([(1, "1", 50, 60, 9), (1, "1", 70, 90, 3), (2, "chr1", 20, 40, 4), (3, "1", 90_000, 90_010, 1)], "id long, chr string, start int, stop int, score long")
+    best = report.best_per_group(scores)
+    sinks.write_labels(best, str(tmp_path / "labels"), str(tmp_path / "places"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "labels")).orderBy("node_id").collect()
+    assert [tuple(r) for r in back] == [("1", "chr1_0"), ("2", "chr1_0"), ("3", "chr1_1")]
+    assert ("chr1", "51", "59", "chr1_0") in [tuple(r) for r in text.tsv(spark, str(tmp_path / "places"), header=False).collect()]
+    sinks.write_statistics(spark.createDataFrame([("S", "kept", 4)], "sample string, reason string, n long"), str(tmp_path / "stats"))
+    assert tuple(text.tsv(spark, str(tmp_path / "stats")).first()) == ("S", "kept", "4")
+
+
 def test_genes_and_regions(spark, tmp_path):
     table = text.exons(spark, write(tmp_path, "genes.tsv", "gene\tchr\tstart\tstop\tstrand\nA\tchr1\t10\t20\t+\nA\tchr1\t40\t50\t+\n"))
     found, missing = text.gene_regions(spark.createDataFrame([("A",), ("B",)], "gene string"), table)
