@@ -160,15 +160,16 @@ def op1_winnowing(docs: DataFrame, params: WinnowParams = WinnowParams()) -> Dat
     """Fingerprints of every text and its edited text, and likenesses to the edited and the next text.
 
     Null text counts as empty. Rows with a null id come first, rows with equal ids follow each other by text. A single row is
-    followed by itself. The fingerprint string is the chosen hashes in order of position, eight hex digits each.
+    followed by itself. The fingerprint string is the chosen hashes in order of position, eight hex digits each; ``positions`` has their
+    positions in the same way.
     """
 
     def step(batches: Iterator) -> Iterator[tuple]:
         def told(here: tuple, following: tuple) -> tuple:
-            doc_id, text, (hashes, _) = here
+            doc_id, text, (hashes, places) = here
             changed = edited(text, following[1])
             other, _ = winnow(changed, params)
-            return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), hashes.astype(">u4").tobytes().hex(), other.astype(">u4").tobytes().hex(), likeness(hashes, other), likeness(hashes, following[2][0])
+            return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), hashes.astype(">u4").tobytes().hex(), other.astype(">u4").tobytes().hex(), likeness(hashes, other), likeness(hashes, following[2][0]), places.astype(">u4").tobytes().hex()
 
         held, at = None, None
         for part, tail, doc_id, text in rows_of(batches, "part", "tail", "doc_id", "text"):
@@ -181,6 +182,6 @@ def op1_winnowing(docs: DataFrame, params: WinnowParams = WinnowParams()) -> Dat
                 yield told(held, here)
             held = None if tail else here
 
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions string"
     out = T._parse_datatype_string(schema)
     return with_next(docs).select("part", "tail", "doc_id", "text").mapInArrow(lambda b: in_batches(step(b), out, 128), out)

@@ -90,7 +90,12 @@ def test_edits_across_ranges(spark, texts):
         assert rows[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         mine, other = (fingerprint.winnow(t)[0] for t in (texts[i], following))
         assert rows[i]["near_next"] == fingerprint.likeness(mine, other)
-        assert rows[i]["fingerprint"] == mine.astype(">u4").tobytes().hex()
+        (hashes, places), edit = fingerprint.winnow(texts[i]), fingerprint.winnow(changed)[0]
+        quarter = len(texts[i]) // 4
+        assert changed == texts[i][: len(texts[i]) - quarter] + following[:quarter]
+        assert rows[i]["n_chars"] == len(texts[i])
+        assert [rows[i][c] for c in ("fingerprint", "edited_fingerprint", "positions")] == ["".join(f"{x:08x}" for x in part.tolist()) for part in (hashes, edit, places)]
+        assert rows[i]["near_edited"] == fingerprint.likeness(hashes, edit)
 
 
 # --- classifiers
