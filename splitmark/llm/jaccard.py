@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from splitmark.llm.common import map_rows
 from splitmark.llm.components import components, stars
-from splitmark.session import discard, parallelism, written
+from splitmark.session import LONG_ROWS, discard, gathered, parallelism, written
 
 
 @dataclass(frozen=True)
@@ -264,12 +264,12 @@ def verify(members: list[tuple], cross: bool, threshold: float) -> Iterator[tupl
             yield m[1], int(number[at]), int(weight[at]), members[place[label[rank[at]]]][1]
 
 
-def _ties(classes: DataFrame, params: ForestParams) -> DataFrame:
-    """(node, hub): classes tied to the first class of every trie node that they meet others in."""
+def _ties(classes: DataFrame, params: ForestParams, nodes: int) -> DataFrame:
+    """(node, hub): classes, of which there are at most ``nodes``, tied to the first class of every trie node that they meet others in."""
     leaves = classes.select(F.explode("keys").alias("key"), "node")
     # By ranges of whole signatures and nodes, so that a crowded part of a tree, or one signature of many classes, may be split.
     tries = leaves.repartitionByRange(parallelism(classes.sparkSession), "key", "node").sortWithinPartitions("key", "node")
-    found = written(map_rows(tries, ["key", "node"], "tree int, node binary, length int, hubs array<binary>, edge binary", lambda rows: trie_ties(rows, params.least)), "tries")
+    found = written(map_rows(tries, ["key", "node"], "tree int, node binary, length int, hubs array<binary>, edge binary", lambda rows: trie_ties(rows, params.least)), "tries", params.trees * nodes)
     inner, seams = found.where("edge is null").drop("edge"), [tuple(r) for r in found.where("edge is not null").collect()]  # two rows for each partition
     joined = classes.sparkSession.createDataFrame(stitched(seams, params.least), inner.schema)
     met = {(r["tree"], r["length"]): r["count"] for r in inner.groupBy("tree", "length").count().collect()}  # a row for each tree and level
@@ -317,17 +317,18 @@ def _links(cut: DataFrame, params: ForestParams) -> DataFrame:
     return map_rows(tasks, ["label", "i", "j", "side", "node", "n_copies", "shingles"], "node binary, n_text_links bigint, linked bigint, low binary", check)
 
 
-def _grouped(docs: DataFrame, params: ForestParams) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, text_hash, node, and of its class ``first``, ``least`` (the first row of the component),
+def _grouped(docs: DataFrame, params: ForestParams) -> tuple[DataFrame, int]:
+    """How many rows ``docs`` has (1 at least), and for each of them a row: doc_id, text_hash, node, and of its class ``first``, ``least`` (the first row of the component),
     n_copies, n_text_links and linked (documents of linked classes)."""
     signed = written(signatures(docs, params), "signatures")
     n = max(1, signed.count())
     classes = written(_classes(signed), "classes", n)
-    groups = components(stars(_ties(classes, params), "node", "hub"), nodes=n)
+    groups = components(stars(_ties(classes, params, n), "node", "hub"), nodes=n)
     known = groups.join(classes.select("node", "first", "n_copies", "shingles"), "node")
     sizes = known.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / params.block, F.sum("shingles") / params.block_shingles)).cast("int").alias("blocks"))
     members = written(known.join(sizes, "label").select("node", "label", "blocks", "first", "n_copies"), "members", n)
-    links = written(_links(_shingled(docs, members, params), params), "links")
+    checked = members.agg(F.sum("blocks")).first()[0] or 0  # rows that verification reads
+    links = written(_links(_shingled(docs, members, params), params), "links", checked, LONG_ROWS)
     discard(groups, members)
     counted = links.groupBy("node").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("linked").alias("linked"))
     joined = components(stars(links.where("node <> low"), "node", "low"), nodes=n)
@@ -336,7 +337,7 @@ def _grouped(docs: DataFrame, params: ForestParams) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     final = written(named.join(lowest, "label").join(counted, "node", "left").select("node", "first", "least", "n_copies", zero("n_text_links"), zero("linked")), "final", n)
     discard(classes, links, joined)
-    return signed.select("doc_id", "text_hash", "node").join(final, "node", "left")
+    return signed.select("doc_id", "text_hash", "node").join(final, "node", "left"), n
 
 
 def near_duplicates(docs: DataFrame, params: ForestParams = ForestParams()) -> DataFrame:
@@ -354,7 +355,7 @@ def near_duplicates(docs: DataFrame, params: ForestParams = ForestParams()) -> D
     own = lambda c, value: F.when(F.col("node").isNull(), value).otherwise(F.col(c))
     zero, id_ = F.lit(0).cast("bigint"), F.col("doc_id")
     links = F.col("n_copies") - 1 + F.col("linked")
-    return _grouped(docs, params).select(
+    return _grouped(docs, params)[0].select(
         "doc_id", own("least.doc_id", id_).alias("class_id"), own("first.doc_id", id_).alias("copy_id"), F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"), F.coalesce(links, zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links")
     )
 
@@ -370,10 +371,10 @@ def one_of_each(docs: DataFrame, params: ForestParams = ForestParams()) -> DataF
     A row whose text has no words is linked to nothing and stays, repeated or not. Rows without an id are told apart by their texts; one
     of them stands for a component only where none has an id.
     """
-    found = _grouped(docs, params)
+    found, n = _grouped(docs, params)
     wordless = F.col("node").isNull()
     chosen = found.where(wordless | _same_row(F.col("doc_id"), F.col("text_hash"), F.col("least"))).select("doc_id", "text_hash", wordless.alias("wordless")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash")))
     once = kept.where("not wordless").dropDuplicates(["doc_id", "text_hash"])
-    return once.unionByName(kept.where("wordless")).select("row.*")
+    return gathered(once.unionByName(kept.where("wordless")).select("row.*"), n, LONG_ROWS)

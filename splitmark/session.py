@@ -41,17 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context._splitmark_dir
 
 
-#: Rows that are worth a file and a task of their own.
-FILE_ROWS = 50_000
+#: Rows that are worth a file and a task of their own; rows of texts, or of other long or dear values.
+FILE_ROWS, LONG_ROWS = 50_000, 2048
 
 
-def written(df: DataFrame, name: str = "step", rows: int | None = None) -> DataFrame:
+def gathered(df: DataFrame, rows: int, per: int = FILE_ROWS) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in no more partitions than they are worth at ``per`` rows each.
+
+    Without Hadoop's native library the JVM starts processes for the rights of every file on a local disk, and each shares all of its
+    memory until it runs its own program.
+    """
+    return df.coalesce(max(1, -(-rows // per)))
+
+
+def written(df: DataFrame, name: str = "step", rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and lost executors lose nothing of it.
 
     ``rows``: about how many there are at most, so that a small table isn't cut into as many files as a shuffle has partitions.
     """
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = gathered(df, rows, per)
     path = f"{shared_dir(df.sparkSession)}/splitmark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from splitmark.llm import chat, components, fingerprint, jaccard, langid, mixing, packing, quality, queries, secrets, topk, toxicity
 from splitmark.llm.common import labelled_texts
+from splitmark.session import written
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -362,6 +363,30 @@ def test_rows_without_an_id_are_linked_like_others(spark):
     assert sorted(map(str, kept)) in [sorted(map(str, [(None, t), (7, far), (None, ""), (None, "")])) for t in (a, near)]
 
 
+def test_the_join_cuts_small_tables_into_few_files(spark, monkeypatch):
+    files = {}
+
+    def noted(df, name="step", *more):
+        found = written(df, name, *more)
+        files[name] = len(found.inputFiles())
+        return found
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    docs = near_rows(spark, [(20 * g + i, " ".join([*(f"g{g}w{w}" for w in range(40)), f"x{i % 3}"])) for g in range(40) for i in range(20)])
+    shuffled = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in shuffled}
+    try:
+        for k, v in shuffled.items():
+            spark.conf.set(k, v)
+        kept = jaccard.one_of_each(docs)
+        assert kept.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files["tries"] == files["links"] == files["final"] == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [20 * g for g in range(40)]
+
+
 def test_shared_counts(texts):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
