@@ -8,10 +8,11 @@ dealt by a hash, so that each is a random sample of a bounded expected size and
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,19 +37,24 @@ class PackParams:
 #: Python takes these for white space and the tokenizer doesn't; texts with a special token's sign are left to it as well.
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters that are lower-cased one by one and are in composed form already.
-LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+")
+LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+$"
 #: Marks that the tokenizer cuts off behind letters (an apostrophe may belong to a contraction, so it isn't among them).
 TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-#: Chunks whose ids a process keeps, words encoded in one call, and words looked up together.
+#: Units whose ids a process keeps, words encoded in one call, and chunks looked up together.
 KEPT, AT_ONCE, STRETCH = 400_000, 50_000, 1 << 20
 #: Texts that are looked up together: so many, or as many as make up so many characters.
 TEXTS, CHARS = 512, 1 << 22
 
 
+def _runs(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin there and have these sizes, one after another."""
+    return flat[np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)]
+
+
 class WordTokenizer:
-    """Ids of texts, equal to the tokenizer's own. It never merges across white space, nor letters with marks, so the ids of each
-    chunk are kept (a bounded number of them), and all words that are new in some texts are encoded in one call and told apart by
-    their tokens for a word's end."""
+    """Ids of texts, equal to the tokenizer's own. It never merges across white space, nor letters with marks, so a chunk between white space
+    is a word in lower case and the marks behind it, or a unit as it is. The ids of each unit are kept (a bounded number of them), and all
+    words that are new in some texts are encoded in one call and told apart by their tokens for a word's end."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,66 +62,69 @@ class WordTokenizer:
         vocabulary = self.inner.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Unit n has the ids ``flat[bounds[n] : bounds[n + 1]]``; unit 0 has none."""
+        self.numbers: dict[str, int] = {"": 0}
+        self.flat, self.bounds = array("I"), array("q", [0, 0])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks. A chunk is kept from the second time on that its word is met, so words that stand in one text alone don't crowd
-        the others out."""
-        if len(self.known) > KEPT:
-            self.known = {}
-        if len(self.words) > KEPT:
-            self.words = {}
-        if len(self.tails) > 10_000:
-            self.tails = {"": b""}
-        known, words, tails, cut, out = self.known, self.words, self.tails, [], {}
-        for chunk in chunks:
-            bare = chunk.rstrip(TAIL)
-            if not (bare.isascii() and bare.isalpha()) and LETTERS.fullmatch(bare) is None:
-                out[chunk] = known[chunk] = self._ids(chunk).tobytes()
-                continue
-            word, tail = bare.lower(), chunk[len(bare) :]
-            if tail not in tails:
-                tails[tail] = self._ids(tail).tobytes()
-            ids = words.get(word)
-            if ids is None:
-                cut.append((chunk, word, tail))
-            else:
-                out[chunk] = known[chunk] = ids + tails[tail] if tail else ids
-        fresh = list(dict.fromkeys([word for _, word, _ in cut]))
-        for at in range(0, len(fresh), AT_ONCE):
-            part = fresh[at : at + AT_ONCE]
-            ids = self._ids(" ".join(part))
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            words.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        out.update([(chunk, words[word] + tails[tail] if tail else words[word]) for chunk, word, tail in cut])
-        return out
-
-    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, one after another, how many of them each word has); each distinct word is looked up once."""
-        coded = words.dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self.known.get, names))
-        if None in ids:
-            new = self._learn([w for w, i in zip(names, ids, strict=True) if i is None])
-            ids = [new[w] if i is None else i for w, i in zip(names, ids, strict=True)]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        begins, flat, codes = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
-        counts = sizes[codes]
-        places = np.arange(counts.sum()) + np.repeat(begins[codes] - (np.cumsum(counts) - counts), counts)
-        return flat[places], counts
+    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of new units, of which each has the ids up to its end."""
+        numbers = range(len(self.bounds) - 1, len(self.bounds) - 1 + len(units))
+        self.numbers.update(zip(units, numbers, strict=True))
+        self.bounds.frombytes((ends.astype(np.int64) + len(self.flat)).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        return np.arange(numbers.start, numbers.stop)
+
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """The number of each unit; each distinct one is looked up once, and new ones are encoded and kept."""
+        coded = units.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(self.numbers.get, names.tolist(), repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(found < 0)
+        plain = pc.match_substring_regex(coded.dictionary.take(pa.array(new)), LETTERS).to_numpy(zero_copy_only=False)
+        for places in (new[plain][at : at + AT_ONCE] for at in range(0, plain.sum(), AT_ONCE)):
+            words = names[places].tolist()
+            ids = self._ids(" ".join(words))
+            found[places] = self._keep(words, ids, np.flatnonzero(self.ends[ids]) + 1)
+        for places in (new[~plain][at : at + AT_ONCE] for at in range(0, (~plain).sum(), AT_ONCE)):
+            odd = names[places].tolist()
+            each = [e.ids for e in self.inner.encode_batch_fast(odd, add_special_tokens=False)]
+            found[places] = self._keep(odd, np.fromiter(chain.from_iterable(each), dtype=np.uint32), np.cumsum([len(ids) for ids in each]))
+        return found[coded.indices.to_numpy()]
+
+    def _looked_up(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, one after another, how many of them each chunk has)."""
+        if len(self.numbers) > KEPT:
+            self._forget()
+        coded = chunks.dictionary_encode()
+        bare = pc.utf8_rtrim(coded.dictionary, characters=TAIL)
+        letters = pc.match_substring_regex(bare, LETTERS)
+        marks = pc.if_else(letters, pc.subtract(pc.binary_length(coded.dictionary), pc.binary_length(bare)), 0).to_numpy()
+        units = np.zeros((len(marks), 2), dtype=np.int64)  # of each distinct chunk: its word, and what is behind it
+        units[:, 0] = self._numbers(pc.if_else(letters, pc.utf8_lower(bare), coded.dictionary))
+        marked = np.flatnonzero(marks)
+        if len(marked):
+            tails = [chunk[-n:] for chunk, n in zip(coded.dictionary.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist(), marks[marked].tolist(), strict=True)]
+            units[marked, 1] = self._numbers(pa.array(tails, pa.string()))
+        flat, bounds = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.bounds, np.int64)
+        sizes = bounds[units + 1] - bounds[units]
+        own = _runs(flat, bounds[units.ravel()], sizes.ravel())
+        counts = sizes.sum(axis=1)
+        codes = coded.indices.to_numpy()
+        return _runs(own, (np.cumsum(counts) - counts)[codes], counts[codes]).astype("<u4", copy=False), counts[codes]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, one after another. The texts' words are looked up together, those of long texts by
+        """Little-endian unsigned 32-bit ids of each text, one after another. The texts' chunks are looked up together, those of long texts by
         stretches."""
         whole = [any(mark in t for mark in WHOLE) for t in texts]
         split = pc.utf8_split_whitespace(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.string()))
-        words, bounds = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
-        parts = [self._looked_up(words.slice(at, STRETCH)) for at in range(0, len(words), STRETCH)]
+        chunks, bounds = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
+        parts = [self._looked_up(chunks.slice(at, STRETCH)) for at in range(0, len(chunks), STRETCH)]
         ids, counts = (np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, "<u4") for n in (0, 1))
         ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[bounds]
         for n, text in enumerate(texts):

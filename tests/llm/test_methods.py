@@ -505,6 +505,26 @@ def test_kept_words_give_the_tokenizers_ids(texts, monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == inner.encode(text, add_special_tokens=False).ids, text
 
 
+def test_chunks_of_one_word_share_its_ids_and_odd_ones_are_encoded_together(monkeypatch):
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c != "\u0131"]
+    text = " ".join([w for n in range(300) for w in (f"{n}a{n}", f"Straße{letters[n]}!", f"straße{letters[n]}", f"STRAßE{letters[n].upper() if len(letters[n].upper()) == 1 else letters[n]}),")])
+    calls, inner = [], own.inner
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    own.inner = Counted()
+    again = [np.frombuffer(raw, "<u4").tolist() for raw in own.encode([text, text])]
+    assert again == [inner.encode(text, add_special_tokens=False).ids] * 2
+    assert sum(calls) >= 300 and len(calls) <= 4
+    before = len(calls)
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in own.encode([text])] == again[:1]
+    assert len(calls) == before
+
+
 # --- mixing
 
 
