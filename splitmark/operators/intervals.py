@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitmark.session import written
+
 BIN = 1 << 14
 
 
@@ -107,10 +109,35 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return gaps.unionByName(tails).where("start <= stop").unionByName(untouched.select("chr", "start", "stop"))
 
 
-def overlap_counts(a: DataFrame, b: DataFrame, least: int = 0) -> DataFrame:
-    """Rows of ``a`` by ``rid`` with how many of ``b`` they overlap, those with more than ``least``."""
-    pairs = overlap_join(a, b)
-    return pairs.groupBy(F.col("rid_a").alias("rid"), F.col("chr_a").alias("chr"), F.col("start_a").alias("start"), F.col("stop_a").alias("stop")).agg(F.count("*").alias("overlaps")).where(F.col("overlaps") > least)
+def _running(steps: DataFrame, values: list[str], size: int) -> DataFrame:
+    """``steps`` (chr, pos, values; one row for each place) with the values summed along the contig up to each place.
+
+    The sums run within bins; what a bin begins with is a running sum over one row for each bin.
+    """
+    binned = steps.withColumn("bin", F.floor(F.col("pos") / size))
+    along = Window.partitionBy("chr").orderBy("bin")
+    base = binned.groupBy("chr", "bin").agg(*[F.sum(v).alias(v) for v in values]).select("chr", "bin", *[(F.sum(v).over(along) - F.col(v)).alias(f"{v}_base") for v in values])
+    inside = Window.partitionBy("chr", "bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = binned.select("chr", "bin", "pos", *values, *[F.sum(v).over(inside).alias(f"{v}_run") for v in values])
+    return run.join(base, ["chr", "bin"]).select("chr", "pos", *values, *[(F.col(f"{v}_run") + F.col(f"{v}_base")).alias(f"{v}_sum") for v in values])
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, least: int = 0, size: int = BIN) -> DataFrame:
+    """Rows of ``a`` by ``rid`` with how many of ``b`` they overlap, those with more than ``least``.
+
+    No pair is made: a region overlaps those of ``b`` that start up to its end, less those that end before its start, and both are running
+    counts along the contig. Regions that end before they start, of which that doesn't hold, are joined.
+    """
+    key, straight = ["rid", "chr", "start", "stop"], F.col("start") <= F.col("stop")
+    places = lambda df, **n: df.where(straight).select("chr", F.explode(F.array(*[F.struct(F.col(c).alias("pos"), *[F.lit(int(c == v)).cast("bigint").alias(k) for k, v in n.items()]) for c in ("start", "stop")])).alias("p")).select("chr", "p.*")
+    steps = places(b, starts="start", stops="stop").unionByName(places(a, starts=None, stops=None)).groupBy("chr", "pos").agg(F.sum("starts").alias("starts"), F.sum("stops").alias("stops"))
+    run = written(_running(steps, ["starts", "stops"], size), "overlaps")
+    behind = run.select("chr", F.col("pos").alias("stop"), F.col("starts_sum").alias("begun"))
+    before = run.select("chr", F.col("pos").alias("start"), (F.col("stops_sum") - F.col("stops")).alias("over"))
+    counted = a.where(straight).select(*key).join(behind, ["chr", "stop"]).join(before, ["chr", "start"]).select(*key, (F.col("begun") - F.col("over")).alias("n"))
+    pairs = overlap_join(a.where(~straight), b, size=size).unionByName(overlap_join(a.where(straight), b.where(~straight), size=size))
+    joined = pairs.select(*[F.col(f"{c}_a").alias(c) for c in key], F.lit(1).cast("bigint").alias("n"))
+    return counted.where("n > 0").unionByName(joined).groupBy(*key).agg(F.sum("n").alias("overlaps")).where(F.col("overlaps") > least)
 
 
 def nearest(sites: DataFrame, features: DataFrame, reach: int) -> DataFrame:
