@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from splitmark import schema
 from splitmark.functions import genomics as G
 from splitmark.operators import intervals
+from splitmark.session import written
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,8 @@ def reject_reason(params: ReadParams = ReadParams()) -> Column:
         lone = F.lit(False) if params.adapter_start_only else schema.flag(schema.PAIRED) & schema.flag(schema.MATE_UNMAPPED)
         reason = reason.when(~lone & near & holds, "adapter")
     if params.min_matched is not None:
-        both = (F.size(ops) > 2) & (G.first_op(ops) == "S") & (G.last_op(ops) == "S")
+        # The pattern holds wherever the rest does, and spares most reads the lists.
+        both = F.col("cigar").rlike(r"\dS.*\dS") & (F.size(ops) > 2) & (G.first_op(ops) == "S") & (G.last_op(ops) == "S")
         reason = reason.when(both & (G.matched(ops) < params.min_matched), "contamination")
     return reason
 
@@ -95,13 +97,17 @@ def noise_windows(reads: DataFrame, params: NoiseParams = NoiseParams()) -> Data
     """(sample, chr, pos, reads, clipped_positions, noisy) at every read start and end clip.
 
     Counts are first summed by position, so a frame's cost follows positions, not reads; bins with a halo let one contig be
-    worked on by many tasks.
+    worked on by many tasks. Reads are looked at once, and every sum has a fixed size: at a place with two starts or more the read first
+    in the file counts, of reads at the same place in it the one with the smaller operator.
     """
-    first = F.min(F.struct("file_ord", F.regexp_extract("cigar", r"^\d+([A-Z=])", 1).alias("op")))["op"]
-    starts = reads.groupBy("sample", "chr", F.col("aln_start").alias("pos")).agg(F.count("*").alias("n"), first.alias("op"))
-    starts = starts.select("sample", "chr", "pos", "n", ((F.col("n") >= 2) & (F.col("op") == "S")).cast("bigint").alias("clipped"))
-    ends = reads.where(F.col("cigar").rlike(r"^\d+M")).select("sample", "chr", F.col("aln_end").alias("pos"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("clipped")).distinct()
-    places = starts.unionByName(ends).groupBy("sample", "chr", "pos").agg(F.sum("n").alias("n"), F.sum("clipped").alias("clipped"))
+    op, order = F.regexp_extract("cigar", r"^\d+([A-Z=])", 1), F.coalesce("file_ord", F.lit(-(1 << 63)))
+    start = F.struct(F.col("aln_start").alias("pos"), F.lit(1).cast("bigint").alias("n"), order.alias("order"), op.alias("op"))
+    end = F.struct(F.col("aln_end").alias("pos"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("order"), F.lit(None).cast("string").alias("op"))
+    ends = reads.select("sample", "chr", F.explode(F.when(F.col("cigar").rlike(r"^\d+M"), F.array(start, end)).otherwise(F.array(start))).alias("p")).select("sample", "chr", "p.*")
+    first = lambda kind: F.min(F.when(kind, F.col("order")))
+    places = ends.groupBy("sample", "chr", "pos").agg(F.sum("n").alias("n"), first(F.col("op") == "S").alias("s"), first(F.col("op").isNull() | (F.col("op") < "S")).alias("before"), first(F.col("op") > "S").alias("behind"))
+    clipped = F.coalesce((F.col("n") >= 2) & (F.col("s") < F.coalesce("before", F.lit((1 << 63) - 1))) & (F.col("s") <= F.coalesce("behind", F.lit((1 << 63) - 1))), F.lit(False))
+    places = places.select("sample", "chr", "pos", "n", clipped.cast("bigint").alias("clipped"))
     reach = max(params.behind, params.ahead)
     low, high = F.floor((F.col("pos") - reach) / params.bin), F.floor((F.col("pos") + reach) / params.bin)
     binned = places.withColumn("own", F.floor(F.col("pos") / params.bin)).withColumn("bin", F.explode(F.sequence(low, high)))
@@ -112,7 +118,8 @@ def noise_windows(reads: DataFrame, params: NoiseParams = NoiseParams()) -> Data
 
 def quiet(reads: DataFrame, windows: DataFrame) -> DataFrame:
     """Reads whose start and breakpoint both lie at places that aren't noisy. ``reads`` has ``bp_pos``."""
-    noisy = windows.where("noisy").select("sample", "chr", "pos")
+    # Written, as it is looked up twice and its size tells whether every task can have it whole.
+    noisy = written(windows.where("noisy").select("sample", "chr", "pos"), "noisy")
     kept = reads.join(noisy.withColumnRenamed("pos", "aln_start"), ["sample", "chr", "aln_start"], "left_anti")
     return kept.join(noisy.withColumnRenamed("pos", "bp_pos"), ["sample", "chr", "bp_pos"], "left_anti")
 

@@ -76,12 +76,12 @@ LIGHT = [c for c in (part.split()[0] for part in schema.READS.split(", ")) if c
 
 
 def _kept(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Reads that pass the filter, written once: positions, windows and counts all start from them."""
-    return written(reads.interesting(projection.reads(spark, sf_dir)).select(*LIGHT, *more), "reads")
+    """Reads that pass the filter."""
+    return reads.interesting(projection.reads(spark, sf_dir)).select(*LIGHT, *more)
 
 
 def _placed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return reads.positions(reads.interesting(projection.reads(spark, sf_dir)).select(*LIGHT, *more))
+    return reads.positions(_kept(spark, sf_dir, *more))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,11 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quiet(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Reads behind the noise gate, without duplicates."""
-    kept = _kept(spark, sf_dir, *more)
-    return reads.without_duplicates(reads.quiet(reads.positions(kept), reads.noise_windows(kept)))
+    """Reads behind the noise gate, without duplicates. What is written for windows and gate is narrow; reads with more columns are
+    filtered once more, so bases and qualities are never written before the gate."""
+    kept = written(_kept(spark, sf_dir), "reads")
+    rows = _placed(spark, sf_dir, *more) if more else reads.positions(kept)
+    return reads.without_duplicates(reads.quiet(rows, reads.noise_windows(kept)))
 
 
 def _site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

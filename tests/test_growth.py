@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
-from splitmark.operators import intervals
+from splitmark import schema
+from splitmark.operators import intervals, novel, reads, variants
+from splitmark.sources import projection
 
 REGION = "rid long, chr string, start int, stop int"
 
@@ -43,3 +45,34 @@ def test_overlap_counts_of_odd_regions(spark, size, least):
     got = intervals.overlap_counts(spark.createDataFrame(a, REGION), spark.createDataFrame(b, REGION), least, size).collect()
     assert {tuple(r)[:4]: r["overlaps"] for r in got} == {k: n for k, n in wanted.items() if n > least}
     assert len(got) == len({tuple(r)[:4] for r in got})
+
+
+def scans(df, column):
+    """How often the executed plan reads a table that holds ``column``."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("FileScan" in line and column in line for line in text.splitlines())
+
+
+def read_file(spark, path, *changes):
+    read = dict(sample="S", read_name="r", file_ord=0, flags=3, chr="1", chr_idx=1, aln_start=1000, aln_end=1059, mapq=30, cigar="20S60M", bases="C" * 80, quals=[30] * 80, mate_chr="1", mate_chr_idx=1, mate_start=1300, insert_size=400)
+    spark.createDataFrame([read | c for c in changes], schema.READS).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_windows_read_their_reads_once(spark, tmp_path):
+    """At a place with several starts the first in the file tells whether it is clipped; of equals the smaller operator."""
+    places = {1000: [(2, "80M"), (1, "20S60M")], 2000: [(1, "80M"), (2, "20S60M")], 3000: [(1, "20S60M")], 4000: [(1, "80M"), (1, "20S60M")], 5000: [(1, "20S60M"), (1, "20S60M")], 6000: [(1, "80="), (1, "20S60M")], 7000: [(1, "*"), (1, "20S60M")], 8000: [(None, "80M"), (1, "20S60M")], 9000: [(1, "80X"), (1, "20S60M")]}
+    rows = read_file(spark, tmp_path / "r", *[{"aln_start": p, "aln_end": p + 79, "file_ord": order, "cigar": c} for p, held in places.items() for order, c in held])
+    found = reads.noise_windows(rows)
+    assert scans(found, "aln_start") == 1
+    clipped = {r["pos"]: r["clipped_positions"] for r in found.collect()}
+    assert {p: clipped[p] for p in places} == {1000: 1, 2000: 0, 3000: 0, 4000: 0, 5000: 1, 6000: 0, 7000: 0, 8000: 0, 9000: 1}
+    assert set(clipped) == set(places) | {p + 79 for p in (1000, 2000, 4000, 8000)}
+
+
+def test_projected_qualities_are_those_of_the_text(spark, sf_dir):
+    made = projection.reads(spark, sf_dir).select("read_name", "quals")
+    text = projection.relation(spark, sf_dir, (projection.READS_SQL,), "reads").selectExpr("read_name", f"{projection.QUALS_SPARK} AS quals")
+    assert made.exceptAll(text).count() == text.exceptAll(made).count() == 0
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
