@@ -81,8 +81,9 @@ def coverage(regions: DataFrame, size: int = BIN) -> DataFrame:
 
     The sum runs within bins; what a bin begins with is a running sum over one row for each bin.
     """
-    events = regions.select("chr", F.col("start").alias("pos"), F.lit(1).alias("d")).unionByName(regions.select("chr", (F.col("stop") + 1).alias("pos"), F.lit(-1).alias("d")))
-    steps = events.groupBy("chr", "pos").agg(F.sum("d").alias("d")).withColumn("bin", F.floor(F.col("pos") / size))
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("stop") + 1).alias("pos"), F.lit(-1).alias("d")))
+    places = regions.select("chr", F.explode(ends).alias("e")).select("chr", "e.*").groupBy("chr", "pos").agg(F.sum("d").alias("d"))
+    steps = written(places, "steps").withColumn("bin", F.floor(F.col("pos") / size))
     per_bin = steps.groupBy("chr", "bin").agg(F.sum("d").alias("d"), F.min("pos").alias("first"))
     along = Window.partitionBy("chr").orderBy("bin")
     base = per_bin.select("chr", "bin", (F.sum("d").over(along) - F.col("d")).alias("base"), F.lead("first").over(along).alias("next_first"))

@@ -121,6 +121,7 @@ def extended_regions(reads: DataFrame, existing: DataFrame, depth: int = 2) -> D
     """Where more than ``depth`` mates of reads in ``existing`` gather outside of it: merged regions around the mates."""
     n = F.char_length("bases")
     mates = reads.select(F.col("mate_chr").alias("chr"), F.col("mate_start").alias("start"), (F.col("mate_start") + n).alias("stop"))
-    deep = intervals.coverage(mates).where(F.col("depth") > depth).select("chr", "start", "stop")
-    outside = intervals.overlap_join(deep, existing.select("chr", "start", "stop"), how="left_anti")
+    # Both are looked at several times from here on; written, the reads are looked at once.
+    deep = written(intervals.coverage(mates).where(F.col("depth") > depth).select("chr", "start", "stop"), "deep")
+    outside = written(intervals.overlap_join(deep, existing.select("chr", "start", "stop"), how="left_anti"), "outside")
     return intervals.reduce(outside)

@@ -54,12 +54,26 @@ def scans(df, column):
     return sum("FileScan" in line and column in line for line in text.splitlines())
 
 
+def test_coverage_reads_its_regions_once(spark, tmp_path):
+    spark.createDataFrame([(1, "1", 5, 9), (2, "1", 7, 20_000)], REGION).write.parquet(str(tmp_path / "r"))
+    found = intervals.coverage(spark.read.parquet(str(tmp_path / "r")))
+    assert scans(found, "stop") == 0  # once, for the steps that were written
+    assert sorted((r["start"], r["stop"], r["depth"]) for r in found.collect()) == [(5, 6, 1), (7, 9, 2), (10, 20_000, 1)]
+
+
 def read_file(spark, path, *changes):
     read = dict(sample="S", read_name="r", file_ord=0, flags=3, chr="1", chr_idx=1, aln_start=1000, aln_end=1059, mapq=30, cigar="20S60M", bases="C" * 80, quals=[30] * 80, mate_chr="1", mate_chr_idx=1, mate_start=1300, insert_size=400)
     spark.createDataFrame([read | c for c in changes], schema.READS).write.parquet(str(path))
     return spark.read.parquet(str(path))
 
 
+def test_mates_are_read_once_before_regions_merge(spark, tmp_path):
+    rows = read_file(spark, tmp_path / "r", *[{"read_name": str(i)} for i in range(3)])
+    found = novel.extended_regions(rows, spark.createDataFrame([], REGION))
+    assert scans(found, "mate_start") == 0
+    assert [(r["start"], r["stop"]) for r in found.collect()] == [(1300, 1380)]
+
+
 def test_windows_read_their_reads_once(spark, tmp_path):
     """At a place with several starts the first in the file tells whether it is clipped; of equals the smaller operator."""
     places = {1000: [(2, "80M"), (1, "20S60M")], 2000: [(1, "80M"), (2, "20S60M")], 3000: [(1, "20S60M")], 4000: [(1, "80M"), (1, "20S60M")], 5000: [(1, "20S60M"), (1, "20S60M")], 6000: [(1, "80="), (1, "20S60M")], 7000: [(1, "*"), (1, "20S60M")], 8000: [(None, "80M"), (1, "20S60M")], 9000: [(1, "80X"), (1, "20S60M")]}
