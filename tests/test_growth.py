@@ -90,3 +90,13 @@ def test_projected_qualities_are_those_of_the_text(spark, sf_dir):
     text = projection.relation(spark, sf_dir, (projection.READS_SQL,), "reads").selectExpr("read_name", f"{projection.QUALS_SPARK} AS quals")
     assert made.exceptAll(text).count() == text.exceptAll(made).count() == 0
     assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_variants_ask_once_for_each_place(spark):
+    """Rows that go into the lookup: one for each end of a variant, whatever the reach."""
+    calls = spark.createDataFrame([(i, 1, 1000 + i, 3 if i % 2 else None) for i in range(100)], "vid long, chr_idx int, pos int, svlen int")
+    table = spark.createDataFrame([(1_000_001_001, 7, 2), (1_000_001_004, 5, 1)], "id long, obs long, sample_count long")
+    found = variants.annotate(calls, table)
+    assert {r["vid"]: (r["obs"], r["samples_max"]) for r in found.collect() if r["vid"] in (0, 1, 50)} == {0: ("0,0,0,7,0", 2), 1: ("0,0,7,0,0,0,0,5,0,0", 2), 50: ("0,0,0,0,0", 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
