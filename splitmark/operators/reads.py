@@ -216,13 +216,17 @@ def unmapped_pairs(reads: DataFrame, cutoff: int = 20, most: int = 4) -> DataFra
     """Pairs with at least one unmapped mate whose two reads both have ``most`` bases below ``cutoff`` at most: bases and qualities (the
     letters of a FASTQ file) of both.
 
-    Mates meet by name; the second read is given reverse-complemented, as it was sequenced, and its qualities are turned with it.
+    Mates meet by name; the second read is given reverse-complemented, as it was sequenced, and its qualities are turned with it. Names are
+    looked at first, so bases and qualities of the many pairs that are mapped never move.
     """
-    good = reads.withColumn("low", low_quality_count(cutoff))
-    side = lambda bit, n: good.where(schema.flag(bit)).select("sample", "read_name", F.col("bases").alias(f"bases_{n}"), quality_letters(F.col("quals")).alias(f"quals_{n}"), F.col("low").alias(f"low_{n}"), "flags")
-    one, two = side(schema.FIRST, 1), side(schema.SECOND, 2).withColumnRenamed("flags", "flags_2")
-    lost = (schema.flag(schema.UNMAPPED | schema.MATE_UNMAPPED)) | (schema.flag(schema.UNMAPPED | schema.MATE_UNMAPPED, "flags_2"))
-    return one.join(two, ["sample", "read_name"]).where(lost & (F.col("low_1") <= most) & (F.col("low_2") <= most)).select("sample", "read_name", "bases_1", "quals_1", G.reverse_complement(F.col("bases_2")).alias("bases_2"), F.reverse("quals_2").alias("quals_2"))
+    good = reads.where(schema.flag(schema.FIRST | schema.SECOND) & (low_quality_count(cutoff) <= most))
+    unmapped = schema.UNMAPPED | schema.MATE_UNMAPPED
+    lost = good.groupBy("sample", "read_name").agg(*[F.bool_or(schema.flag(bit)).alias(c) for bit, c in ((unmapped, "lost"), (schema.FIRST, "one"), (schema.SECOND, "two"))]).where("lost and one and two")
+    named = written(lost.select("sample", "read_name"), "names")
+    ends = written(good.join(named, ["sample", "read_name"], "left_semi").select("sample", "read_name", "flags", "bases", quality_letters(F.col("quals")).alias("quals")), "ends")
+    side = lambda bit, n: ends.where(schema.flag(bit)).select("sample", "read_name", F.col("bases").alias(f"bases_{n}"), F.col("quals").alias(f"quals_{n}"), F.col("flags").alias(f"flags_{n}"))
+    pairs = side(schema.FIRST, 1).join(side(schema.SECOND, 2), ["sample", "read_name"]).where(schema.flag(unmapped, "flags_1") | schema.flag(unmapped, "flags_2"))
+    return pairs.select("sample", "read_name", "bases_1", "quals_1", G.reverse_complement(F.col("bases_2")).alias("bases_2"), F.reverse("quals_2").alias("quals_2"))
 
 
 def fragments(reads: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def unmapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fastq_records", f"""WITH pairs AS ({_PAIRS}) SELECT read_name, 1 AS mate, concat('@', read_name, ' /1', chr(10), bases_1, chr(10), '+', chr(10), quals_1) AS value FROM pairs
     UNION ALL SELECT read_name, 2, concat('@', read_name, ' /2', chr(10), bases_2, chr(10), '+', chr(10), quals_2) FROM pairs""")
 def fastq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = unmapped_pairs(spark, sf_dir)
+    pairs = written(unmapped_pairs(spark, sf_dir), "pairs")
     both = [sinks.fastq_rows(pairs, mate).select("read_name", F.lit(mate).alias("mate"), "value") for mate in (1, 2)]
     return both[0].unionByName(both[1])
 

@@ -85,6 +85,14 @@ def test_windows_read_their_reads_once(spark, tmp_path):
     assert set(clipped) == set(places) | {p + 79 for p in (1000, 2000, 4000, 8000)}
 
 
+def test_only_lost_pairs_keep_their_bases(spark, tmp_path):
+    pairs = [("lost", 65 + 8, 129), ("mapped", 65, 129), ("lone", 65 + 8, 65), ("poor", 65 + 8, 129)]
+    rows = read_file(spark, tmp_path / "r", *[{"read_name": name, "flags": f, "quals": [5 if name == "poor" else 30] * 80} for name, *both in pairs for f in both])
+    found = reads.unmapped_pairs(rows)
+    assert scans(found, "mate_start") == scans(found, "cigar") == scans(found, "quals:array") == 0
+    assert [(r["read_name"], r["quals_1"]) for r in found.collect()] == [("lost", "?" * 80)]
+
+
 def test_projected_qualities_are_those_of_the_text(spark, sf_dir):
     made = projection.reads(spark, sf_dir).select("read_name", "quals")
     text = projection.relation(spark, sf_dir, (projection.READS_SQL,), "reads").selectExpr("read_name", f"{projection.QUALS_SPARK} AS quals")
