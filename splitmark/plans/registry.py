@@ -89,11 +89,9 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quiet(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Reads behind the noise gate, without duplicates. What is written for windows and gate is narrow; reads with more columns are
-    filtered once more, so bases and qualities are never written before the gate."""
-    kept = written(_kept(spark, sf_dir), "reads")
-    rows = _placed(spark, sf_dir, *more) if more else reads.positions(kept)
-    return reads.without_duplicates(reads.quiet(rows, reads.noise_windows(kept)))
+    """Reads behind the noise gate, without duplicates; the filtered reads are written once for windows and gate."""
+    kept = written(_kept(spark, sf_dir, *more), "reads")
+    return reads.without_duplicates(reads.quiet(reads.positions(kept), reads.noise_windows(kept)))
 
 
 def _site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
